@@ -40,12 +40,17 @@ def cutoffs(scored: DataFrame, targets: DataFrame) -> DataFrame:
         bracket = F.broadcast(spark.createDataFrame([(k, *v) for k, v in at.items()], schema))  # a row per source with a target
         seen = scored.join(bracket, "source")
         inside = seen.where("score between lo and hi").groupBy("source", "n", "f", "score").agg(F.count(F.lit(1)).alias("ties"))
-        above = seen.groupBy("source").agg(F.sum(F.when(F.col("score") > F.col("hi"), 1).otherwise(0)).alias("above"), F.sum(F.when(F.col("score") >= F.col("lo"), 1).otherwise(0)).alias("least"))
-        wrong = [r["source"] for r in above.collect() if (r["above"] / at[r["source"]][0] > at[r["source"]][1] and at[r["source"]][3] < inf) or (r["least"] / at[r["source"]][0] <= at[r["source"]][1] and at[r["source"]][2] > -inf)]
+        some = lambda c: F.sum(F.when(c, 1).otherwise(0))
+        above = seen.groupBy("source").agg(some(F.col("score") > F.col("hi")).alias("above"), some(F.col("score") >= F.col("hi")).alias("most"), some(F.col("score") >= F.col("lo")).alias("least"))
+        wrong = False
+        for r in above.collect():
+            n, f, lo, hi = at[r["source"]]
+            # the value at hi must be kept and that at lo must not, else the cutoff may lie outside
+            sides = [-inf if r["least"] / n <= f else lo, inf if r["most"] / n > f else hi]
+            wrong |= sides != [lo, hi]
+            at[r["source"]][2:] = sides
         if not wrong:
             break
-        for k in wrong:
-            at[k][2:] = [-inf, inf]
     w = W.partitionBy("source").orderBy(F.desc("score"))
     run = inside.join(above.select("source", "above"), "source").withColumn("kept", F.col("above") + F.sum("ties").over(w))
     best = run.where(F.col("kept") / F.col("n") <= F.col("f")).groupBy("source").agg(F.min("score").alias("cutoff"), F.max("kept").alias("kept"), F.min_by("ties", "score").alias("ties"))
