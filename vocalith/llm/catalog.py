@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_tables
+from . import queries_overlaps, queries_tables
 
-QUERIES = {**queries_tables.QUERIES}
-SQL = {**queries_tables.SQL}
+QUERIES = {**queries_tables.QUERIES, **queries_overlaps.QUERIES}
+SQL = {**queries_tables.SQL, **queries_overlaps.SQL}
