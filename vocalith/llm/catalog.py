@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_overlaps, queries_tables
+from . import queries_overlaps, queries_tables, queries_text
 
-QUERIES = {**queries_tables.QUERIES, **queries_overlaps.QUERIES}
-SQL = {**queries_tables.SQL, **queries_overlaps.SQL}
+_MODULES = (queries_tables, queries_overlaps, queries_text)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
