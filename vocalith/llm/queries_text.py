@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leaks
+from . import leaks, packing
 
 
 # ---- problem 8
@@ -38,5 +38,31 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", (F.col("n_before") - F.length("text")).alias("n_removed"), "text")
 
 
+# ---- problem 7
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.sizes(table(spark, d, "documents")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _placed(spark, d).where("part_no = 1 and n_parts > 1").select("doc_id")
+
+
+def p7_placed(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, or part of a text larger than a container, with its container."""
+    return _placed(spark, d)
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How well the containers are filled."""
+    per = _placed(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("n"))
+    total = F.sum("used")
+    return per.agg(
+        F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_items"), total.alias("n_tokens"), F.max("used").alias("fullest"),
+        F.round(F.try_divide(total, F.count(F.lit(1)) * packing.CAPACITY), 6).alias("filled"),
+    )
+
+
 QUERIES = {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 SQL: dict[str, str] = {}
