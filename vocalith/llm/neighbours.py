@@ -207,8 +207,8 @@ def row_pairs(rows: DataFrame, row_id: str, fields: dict[str, str], least: float
 
 # ---- nearest neighbours of stated queries
 
-QUERY_TREES = 2
-PROBES = 20  # symbols along which a query descends in each tree
+QUERY_TREES = 3
+PROBES = 16  # symbols along which a query descends in each tree
 
 
 def nearest(rows: DataFrame, row_id: str, fields: dict[str, str], query: str, k: int = 10, probes: int = PROBES) -> DataFrame:
