@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import neighbours
+from . import groups, neighbours
+from .common import corpus_key
 
 FIELDS = {"hunk": "hunk_embedding", "context": "context_embedding"}
 LEAST = 0.92
@@ -26,6 +27,29 @@ def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("field").alias("vec_field"), F.col("id").alias("row_id"), F.col("neighbour").alias("neighbour_id"), "cosine", "place")
 
 
+# ---- problem 5
+
+
+def _grouped(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "feature_rows").select("row_id", corpus_key(F.col("corpus")).alias("source"), F.col("features.cluster_id").alias("cluster_id"), F.col("hunk_embedding").alias("vec"))
+    return groups.grouped(rows)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    g = _grouped(spark, d)
+    names = F.broadcast(groups.named(g).where("group_id is not null"))  # at most MOST_GROUPS rows a corpus
+    return g.join(names, ["source", "grp"]).where("cluster_id is null or cluster_id <> group_id").select("row_id", F.col("group_id").alias("cluster_id"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each group: its id, rows, rows whose stored id differs, and its three most typical rows."""
+    g = _grouped(spark, d)
+    names = F.broadcast(groups.named(g))  # at most MOST_GROUPS rows a corpus
+    wrong = g.join(names, ["source", "grp"]).groupBy("source", "grp", "group_id", "size").agg(F.count_if(F.col("cluster_id").isNull() | (F.col("cluster_id") != F.col("group_id"))).alias("n_wrong"))
+    rows = groups.typical(g).groupBy("source", "grp").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "row_id"))), lambda x: x["row_id"]).alias("typical"))
+    return wrong.join(rows, ["source", "grp"]).select(F.col("source").alias("corpus"), "grp", F.col("group_id").alias("cluster_id"), "size", "n_wrong", "typical")
+
+
 QUERIES = {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 _ONE = (
     "rows AS MATERIALIZED (SELECT vec_field, row_id, any_value(v) AS v FROM (SELECT 'hunk' AS vec_field, row_id, hunk_embedding AS v FROM feature_rows"
