@@ -2,5 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+import importlib
+
+from .registry import QUERIES, SQL
+
+for _name in ("q_sources", "q_text", "q_filters", "q_joins", "q_aggregates", "q_vectors", "q_shapes", "q_order", "q_evidence", "q_pipelines", "q_streaming"):
+    try:
+        importlib.import_module(f".{_name}", __package__)
+    except ModuleNotFoundError:
+        pass
+
+__all__ = ["QUERIES", "SQL"]
