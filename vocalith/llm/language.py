@@ -48,11 +48,13 @@ NAMES = {
 
 _MARKS = re.compile(r"[\s>+*#|•\-]*(?:\d+[.)]\s+)?")
 _FENCE = re.compile(r"\s*[>+*\-\s]*(```|~~~)")
+# the beginning of a code line, and lines that are code by their end
 _CODE = re.compile(
     r"(?:def |class |export |import |function |const |let |var |async |await |return\b|assert |raise |throw |yield |try\s*[:{]|except\b.*:|catch\b|finally\s*[:{]|elif |else\s*[:{]"
-    r"|(?:if|for|while|with|switch)\b.*[:{]\s*$|from \S+ import |self\.|this\.|log\.\w+\(|console\.|[})\]]|//|/\*|@\w+\s*$|[\w.\[\]]+\s*[-+*/]?=\s*\S|[\w.]+\(.*\)?[;,]?\s*$|.*[;{]\s*$|.*=>)"
+    r"|from \S+ import |self\.|this\.|log\.\w+\(|console\.|[})\]]|//|/\*|@\w+\s*$|[\w.\[\]]+\s*[-+*/]?=\s*\S|[\w.]+\([^\n]*\)[;,]?\s*$)"
 )
-_WORD = re.compile(r"(?<![\w./\\`\[=_$@])[^\W\d_]+(?:['’\-][^\W\d_]+)*(?![\w`(\[/\\=_]|['’.:\-]\w)")
+_BLOCK = ("if ", "for ", "while ", "with ", "switch ", "if(", "for(", "while(", "switch(")
+_WORD = re.compile(r"[(\"'\[*_«“„]*([^\W\d_]+(?:['’\-][^\W\d_]+)*)[.,;:!?\"'*_)\]»”…]*")
 _END = re.compile(r"[.!?]+[\"'*_)\]]*\s+")
 
 
@@ -63,34 +65,62 @@ def code_of(label: Column) -> Column:
     return F.try_element_at(known, name)
 
 
-def units(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of each unit of prose of a text."""
-    out = []
-    fenced = False
-    at = 0
-    for line in text.splitlines(keepends=True):
-        start, at = at, at + len(line)
-        if _FENCE.match(line):
-            fenced = not fenced
-            continue
-        if fenced:
-            continue
-        m = _MARKS.match(line)
-        body = line[m.end() :]
-        if not body or _CODE.match(body):
-            continue
-        base, pos = start + m.end(), 0
-        ends = [x.end() for x in _END.finditer(body)]
-        if not ends or ends[-1] < len(body):
+def word_of(part: str) -> str | None:
+    """The prose word, in small letters, of what stands between two white spaces; null for names, numbers and code."""
+    m = _WORD.fullmatch(part)
+    if m is None:
+        return None
+    w = m.group(1)
+    return w.lower() if w.islower() or w.isupper() or w[1:].islower() or w.istitle() or "'" in w or "’" in w else None
+
+
+class Reader:
+    """Reads the units of texts; remembers what each part of a line is."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, str | None] = {}
+
+    def units(self, text: str) -> list[tuple[int, int, list[str]]]:
+        """(start, end, words) of each unit of prose of a text."""
+        out = []
+        fenced = False
+        at = 0
+        known = self.known
+        if len(known) > 500_000:
+            known.clear()
+        for line in text.splitlines(keepends=True):
+            start, at = at, at + len(line)
+            if ("```" in line or "~~~" in line) and _FENCE.match(line):
+                fenced = not fenced
+                continue
+            if fenced:
+                continue
+            k = _MARKS.match(line).end()
+            body = line[k:].rstrip()
+            if not body or body[-1] in ";{" or "=>" in body or (body[-1] == ":" and body.startswith(_BLOCK)) or _CODE.match(body):
+                continue
+            base, pos = start + k, 0
+            ends = [x.end() for x in _END.finditer(body)] if "." in body or "!" in body or "?" in body else []
             ends.append(len(body))
-        for e in ends:
-            words = [w.lower() for w in _WORD.findall(body, pos, e) if w.islower() or w.istitle() or w.isupper() or w[1:].islower() or "'" in w or "’" in w]
-            if words:
-                out.append((base + pos, base + pos + len(body[pos:e].rstrip()), words))
-            pos = e
-    if fenced and not out and "```" in text:  # a fence that is never closed hides nothing
-        return units(text.replace("```", "   "))
-    return out
+            for e in ends:
+                words = []
+                for part in body[pos:e].split():
+                    try:
+                        w = known[part]
+                    except KeyError:
+                        w = known[part] = word_of(part)
+                    if w is not None:
+                        words.append(w)
+                if words:
+                    out.append((base + pos, base + e if e == len(body) else base + pos + len(body[pos:e].rstrip()), words))
+                pos = e
+        if fenced and not out and "```" in text:  # a fence that is never closed hides nothing
+            return self.units(text.replace("```", "   "))
+        return out
+
+
+def units(text: str) -> list[tuple[int, int, list[str]]]:
+    return Reader().units(text)
 
 
 def grams(word: str) -> list[int]:
@@ -110,9 +140,7 @@ class Words:
     def row(self, word: str) -> int:
         k = self.at.get(word)
         if k is None:
-            if len(self.at) > 500_000:
-                self.at.clear()
-            k = self.at[word] = len(self.at)
+            k = self.at[word] = len(self.at)  # emptied between batches
             if k >= len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             g = grams(word[:64]) if len(word) <= 64 else grams(word[:32] + word[-32:])
@@ -128,6 +156,7 @@ def frequencies(documents: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
         total = np.zeros(DIM + 1, np.int64)
+        reader = Reader()
 
         def add() -> None:
             for w, n in seen.items():
@@ -137,7 +166,7 @@ def frequencies(documents: DataFrame) -> tuple[np.ndarray, int]:
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                for _, _, words in units(t):
+                for _, _, words in reader.units(t):
                     for w in words:
                         seen[w] = seen.get(w, 0) + 1
             if len(seen) > 200_000:
@@ -217,7 +246,8 @@ def train(rows: list[tuple[str, str]], idf: np.ndarray, epochs: int = EPOCHS, al
 
 def logits(rows: list[list[str]], words: Words) -> np.ndarray:
     """The scores of units, a row each."""
-    flat = np.array([words.row(w) for r in rows for w in r])
+    at, row = words.at, words.row
+    flat = np.array([at[w] if w in at else row(w) for r in rows for w in r])
     if not len(flat):
         return np.zeros((0, len(LANGS)))
     s = np.add.reduceat(words.rows[flat], np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]]), 0)
@@ -290,21 +320,29 @@ def segments(documents: DataFrame, model: Model) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        words = m.words()
+        words, reader = m.words(), Reader()
         for b in batches:
+            if len(words.at) > 500_000:
+                words.at.clear()
             out: list[list] = [[] for _ in range(7)]
+            docs, us = [], []  # per document its id and where its units begin
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                us = units(t)
-                if not us:
-                    continue
-                s = logits([w for _, _, w in us], words)
-                n = np.array([len(w) for _, _, w in us])
-                lang = path(log_softmax(s), n)
-                edges = np.concatenate([[0], np.nonzero(np.diff(lang))[0] + 1, [len(lang)]])
-                for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:]), 1):
-                    mean = (s[lo:hi] * n[lo:hi, None]).sum(0) / n[lo:hi].sum()
-                    p = np.exp(log_softmax(mean / m.temperature))
-                    for c, v in zip(out, (doc, k, LANGS[lang[lo]], float(p[lang[lo]]), us[lo][0], us[hi - 1][1], int(n[lo:hi].sum()))):
+                got = reader.units(t)
+                if got:
+                    docs.append((doc, len(us)))
+                    us += got
+            s = logits([w for _, _, w in us], words)
+            n = np.array([len(w) for _, _, w in us])
+            p = log_softmax(s)
+            edge = [a for _, a in docs] + [len(us)]
+            for (doc, lo0), hi0 in zip(docs, edge[1:]):
+                lang = path(p[lo0:hi0], n[lo0:hi0])
+                cuts = [0, *(np.nonzero(lang[1:] != lang[:-1])[0] + 1).tolist(), hi0 - lo0]
+                for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:]), 1):
+                    x = slice(lo0 + lo, lo0 + hi)
+                    q = n[x] @ s[x] / n[x].sum() / m.temperature
+                    q = np.exp(q - q.max())
+                    for c, v in zip(out, (doc, k, LANGS[lang[lo]], float(q[lang[lo]] / q.sum()), us[lo0 + lo][0], us[lo0 + hi - 1][1], int(n[x].sum()))):
                         c.append(v)
             types = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types)], [x.split()[0] for x in SEGMENT.split(", ")])
