@@ -10,7 +10,7 @@ with follow-the-regularised-leader and elastic-net penalties; units that the fir
 A temperature is fitted on the hand-labelled documents, which training never sees. Units get languages by the best path
 with a price for each change, so that a few quoted words change nothing.
 
-Defined results: rows without id or text, and documents without prose, have no segments; a repeated id counts once; labels
+Defined results: rows without id or text, and documents without prose, have no segments; a repeated row counts once; labels
 are read apart from case, region and kind of name; a label of no known language counts as missing.
 """
 
@@ -348,4 +348,4 @@ def segments(documents: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types)], [x.split()[0] for x in SEGMENT.split(", ")])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return docs.mapInArrow(find, SEGMENT)
+    return docs.mapInArrow(find, SEGMENT).distinct()  # a repeated row gives the same segments

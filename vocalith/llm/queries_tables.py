@@ -53,8 +53,8 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     _, comps = _placed(spark, d)
     per = comps.groupBy("split").agg(F.sum("n").alias("n_rows"), F.countDistinct("component").alias("n_components"))
     total = comps.agg(F.sum("n").alias("total"))
-    want = table(spark, d, "splits").select(F.col("split_name").alias("split"), F.col("share").alias("wanted"))
-    return want.join(per, "split", "full").crossJoin(F.broadcast(total)).select("split", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_components", F.lit(0)).alias("n_components"), F.round(F.coalesce("n_rows", F.lit(0)) / F.col("total"), 6).alias("reached"), "wanted")
+    want = table(spark, d, "splits").where("split_name is not null").groupBy(F.col("split_name").alias("split")).agg(F.min("share").alias("wanted"))
+    return want.join(per, "split", "left").crossJoin(F.broadcast(total)).select("split", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_components", F.lit(0)).alias("n_components"), F.round(F.coalesce("n_rows", F.lit(0)) / F.col("total"), 6).alias("reached"), "wanted")
 
 
 def p1_increment(spark: SparkSession, d: str) -> DataFrame:
