@@ -6,16 +6,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from . import ranks
 
 
 def auc(df: DataFrame, score: str, positive: Column, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., auc): the area under the curve by average ranks; 0 where a class is empty. Ranks are taken over distinct scores,
-    so equal scores are one row before anything is sorted."""
-    p = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(F.sum(positive.cast("long")).alias("_p"), F.count(F.lit(1)).alias("_c"))
-    w = W.partitionBy(*by).orderBy("_s")
-    p = p.withColumn("_r", F.sum("_c").over(w) - (F.col("_c") - 1) / 2)
-    got = p.groupBy(*by).agg(F.sum(F.col("_r") * F.col("_p")).alias("_rank"), F.sum("_p").alias("_np"), (F.sum("_c") - F.sum("_p")).alias("_nn"))
+    """(by..., auc): the area under the curve by average ranks over distinct scores; 0 where a class is empty."""
+    c = ranks.before(ranks.value_counts(df, list(by), score, F.sum(positive.cast("long")).alias("_p")), list(by), score, "n")
+    rank = F.col("_before") + (F.col("n") + 1) / 2
+    got = c.groupBy(*by).agg(F.sum(rank * F.col("_p")).alias("_rank"), F.sum("_p").alias("_np"), (F.sum("n") - F.sum("_p")).alias("_nn"))
     area = F.try_divide(F.col("_rank") - F.col("_np") * (F.col("_np") + 1) / 2, F.col("_np") * F.col("_nn"))
     return got.select(*by, F.coalesce(area, F.lit(0.0)).alias("auc"))
 
@@ -26,10 +25,6 @@ def recall(df: DataFrame, flagged: str, by: str) -> DataFrame:
     return df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("hits"), F.round(F.avg(hit), 6).alias("recall"))
 
 
-def quantiles(score: str, points: dict[str, float]) -> list[Column]:
-    return [F.round(F.percentile(score, p), 6).alias(k) for k, p in points.items()]
-
-
 def stability(sets: DataFrame, key: str, item: str) -> DataFrame:
     """sets(key, item) -> (n_sets, jaccard): mean pairwise overlap of the sets; 1 for a single one, 0 for none."""
     s = sets.select(F.col(key).alias("k"), F.col(item).alias("i")).distinct()

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+
 INELIGIBLE = ("atypical", "atypical_file", "excluded_path", "auto_generated")
 
 
-def threshold(score: Column, mode: str = "max", pct: float = 95.0, k: float = 1.5) -> Column:
-    """An aggregate: the greatest score, an exact percentile, or the upper quartile plus k interquartile ranges; 0 without scores."""
+def thresholds(df: DataFrame, by: list[str], score: str, mode: str = "max", pct: float = 95.0, k: float = 1.5) -> DataFrame:
+    """(by..., t): the greatest score of each group, an exact percentile, or the upper quartile plus k interquartile ranges."""
     if mode == "iqr":
-        value = F.percentile(score, 0.75) + k * (F.percentile(score, 0.75) - F.percentile(score, 0.25))
-    elif mode == "percentile":
-        value = F.percentile(score, pct / 100)
-    else:
-        value = F.max(score)
-    return F.coalesce(value, F.lit(0.0))
+        q = ranks.quantiles(df, by, score, {"_lo": 0.25, "_hi": 0.75})
+        return q.select(*by, (F.col("_hi") + k * (F.col("_hi") - F.col("_lo"))).alias("t"))
+    if mode == "percentile":
+        return ranks.quantiles(df, by, score, {"t": pct / 100})
+    return df.groupBy(*by).agg(F.max(score).alias("t"))
 
 
 def arbitrate(imports: Column, bpe: Column, contribution: Column, limit: Column) -> Column:

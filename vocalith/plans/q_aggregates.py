@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import evaluate, model, sampling
-from ..operators.verdict import eligible, threshold
+from ..operators import evaluate, model, ranks, sampling
+from ..operators.verdict import eligible, thresholds
 from ..session import table
 from ..sources.tables import CODE_SQL, HUNKS_SQL, SCORED_SQL, code, hunks, scored
 from .q_joins import CENTROIDS, CLUSTERED, COUNTS, HELD, TOK, centroids, clustered, counts, held_calls, train_calls
@@ -89,8 +89,12 @@ def agg9_distinct_foreign(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SCORED_SQL} SELECT corpus, round(coalesce(max(bpe_score), 0), 6) AS t_max, round(coalesce(quantile_cont(bpe_score, 0.95), 0), 6) AS t_p95, round(coalesce(quantile_cont(bpe_score, 0.75) + 1.5 * (quantile_cont(bpe_score, 0.75) - quantile_cont(bpe_score, 0.25)), 0), 6) AS t_iqr FROM scored WHERE is_break = false GROUP BY corpus")
 def agg10_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    s, b = scored(spark, d).where("is_break = false"), F.col("bpe_score")
-    return s.groupBy("corpus").agg(F.round(threshold(b), 6).alias("t_max"), F.round(threshold(b, "percentile", 95), 6).alias("t_p95"), F.round(threshold(b, "iqr"), 6).alias("t_iqr"))
+    s = scored(spark, d).where("is_break = false").select("corpus", "bpe_score")
+    out = None
+    for name, mode in (("t_max", "max"), ("t_p95", "percentile"), ("t_iqr", "iqr")):
+        t = thresholds(s, ["corpus"], "bpe_score", mode).select("corpus", F.round(F.coalesce("t", F.lit(0.0)), 6).alias(name))
+        out = t if out is None else out.join(t, "corpus", "left")
+    return out
 
 
 _SEEDS = "seeds AS (SELECT seed, corpus, bpe_score, row_id, row_number() OVER (PARTITION BY seed, corpus ORDER BY md5(seed || ':' || row_id), row_id) AS r FROM scored CROSS JOIN range(0, 7) s(seed) WHERE is_break = false AND bpe_score IS NOT NULL), per AS (SELECT seed, corpus, max(bpe_score) AS t FROM seeds WHERE r <= 50 GROUP BY seed, corpus)"
@@ -113,12 +117,14 @@ def agg11_seed_median(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SCORED_SQL} SELECT corpus, {QUANTS_SQL} FROM scored GROUP BY corpus")
 def agg12_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d).groupBy("corpus").agg(*evaluate.quantiles("bpe_score", QUANTS))
+    q = ranks.quantiles(scored(spark, d).select("corpus", "bpe_score"), ["corpus"], "bpe_score", QUANTS)
+    return q.select("corpus", *[F.round(c, 6).alias(c) for c in QUANTS])
 
 
 @query(f"WITH {SCORED_SQL} SELECT is_break, round(quantile_cont(bpe_score, 0.9), 6) AS q90, {QUANTS_SQL} FROM scored WHERE is_break IS NOT NULL GROUP BY is_break")
 def agg13_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d).where("is_break is not null").groupBy("is_break").agg(*evaluate.quantiles("bpe_score", {"q90": 0.9, **QUANTS}))
+    q = ranks.quantiles(scored(spark, d).where("is_break is not null").select("is_break", "bpe_score"), ["is_break"], "bpe_score", {"q90": 0.9, **QUANTS})
+    return q.select("is_break", *[F.round(c, 6).alias(c) for c in ("q90", *QUANTS)])
 
 
 AUC = "p AS (SELECT corpus, bpe_score AS s, sum(is_break::INT) AS p, count(*) AS c FROM scored WHERE is_break IS NOT NULL AND bpe_score IS NOT NULL GROUP BY corpus, bpe_score), r AS (SELECT *, sum(c) OVER (PARTITION BY corpus ORDER BY s) - (c - 1) / 2 AS r FROM p), a AS (SELECT corpus, CASE WHEN sum(p) * (sum(c) - sum(p)) > 0 THEN (sum(r * p) - sum(p) * (sum(p) + 1) / 2) / (sum(p) * (sum(c) - sum(p))) ELSE 0.0 END AS auc FROM r GROUP BY corpus)"

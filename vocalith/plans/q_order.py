@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import sampling
+from ..operators import ranks, sampling
 from ..operators.verdict import arbitrate
 from ..session import table
 from ..sources.tables import CODE_SQL, HUNKS_SQL, SCORED_SQL, code, hunks, scored
@@ -81,10 +81,13 @@ def srt9_disjoint(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {HUNKS_SQL}, s AS (SELECT commit_sha, file_path, hs, row_number() OVER (PARTITION BY corpus ORDER BY epoch, commit_sha, file_path, hs) AS r, count(*) OVER (PARTITION BY corpus) AS n FROM hunks1 WHERE epoch IS NOT NULL) SELECT commit_sha, file_path, hs, CASE WHEN r <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS part FROM s")
 def srt10_time_split(spark: SparkSession, d: str) -> DataFrame:
     """The first four fifths of each corpus' fragments by time, and the rest."""
-    h = hunks(spark, d).where("epoch is not null")
-    w = W.partitionBy("corpus")
-    r = F.row_number().over(w.orderBy("epoch", "commit_sha", "file_path", "hs"))
-    return h.select("commit_sha", "file_path", "hs", r.alias("r"), F.count(F.lit(1)).over(w).alias("n")).select("commit_sha", "file_path", "hs", F.when(F.col("r") <= F.floor(F.col("n") * 0.8), "train").otherwise("test").alias("part"))
+    h = hunks(spark, d).where("epoch is not null").select("corpus", "commit_sha", "file_path", "hs", "epoch")
+    # whole times are counted and put in order; only the fragments of the one time that the cut falls into are ordered by name
+    c = ranks.before(ranks.value_counts(h, ["corpus"], "epoch"), ["corpus"], "epoch", "n").withColumn("_cut", F.floor(F.col("_all") * 0.8))
+    j = h.join(c, ["corpus", "epoch"])
+    sure = j.where("_before + n <= _cut or _before >= _cut").select("commit_sha", "file_path", "hs", F.when(F.col("_before") < F.col("_cut"), "train").otherwise("test").alias("part"))
+    at = j.where("_before + n > _cut and _before < _cut").withColumn("_r", F.col("_before") + F.row_number().over(W.partitionBy("corpus").orderBy("commit_sha", "file_path", "hs")))
+    return sure.unionByName(at.select("commit_sha", "file_path", "hs", F.when(F.col("_r") <= F.col("_cut"), "train").otherwise("test").alias("part")))
 
 
 @query(f"WITH {SCORED_SQL}, b AS (SELECT corpus, file_path, max(bpe_score) AS best FROM scored WHERE bpe_score >= 3 GROUP BY corpus, file_path) SELECT s.row_id, row_number() OVER (ORDER BY b.best DESC, s.corpus, s.file_path, s.hunk_start_line, s.row_id) AS place FROM scored s JOIN b ON s.corpus = b.corpus AND s.file_path = b.file_path WHERE s.bpe_score >= 3 ORDER BY place LIMIT 200")

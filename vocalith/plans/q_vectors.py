@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import hashing, learn
+from ..operators import hashing, learn, ranks
 from ..session import table
 from ..sources.tables import SCORED_SQL, code, scored
 from .q_joins import CENTROIDS, CLUSTERED, centroids, clustered
@@ -95,7 +95,7 @@ def ml9_leave_one_out(spark: SparkSession, d: str) -> DataFrame:
 def ml10_quantile_threshold(spark: SparkSession, d: str) -> DataFrame:
     """Per corpus the 99 % quantile of the normal rows, and the rows strictly above it."""
     s = scored(spark, d)
-    t = s.where("is_break = false").groupBy("corpus").agg(F.percentile("bpe_score", 0.99).alias("t"))
+    t = ranks.quantiles(s.where("is_break = false").select("corpus", "bpe_score"), ["corpus"], "bpe_score", {"t": 0.99})
     return s.join(F.broadcast(t), "corpus").groupBy("corpus").agg(F.round(F.first("t"), 6).alias("t"), F.count_if(F.col("bpe_score") > F.col("t")).alias("n_flagged"))  # a row per corpus
 
 
