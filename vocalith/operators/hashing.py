@@ -24,6 +24,7 @@ def base_hash(c: Column) -> Column:
 def signature(bag: Column, n: int = 128, seed: int = 0) -> Column:
     """The least hash of a bag under each of n functions; zeros for an empty bag."""
     a, b = parameters(n, seed)
-    hashes = F.transform(bag, base_hash)
     pairs = F.array(*[F.struct(F.lit(x).cast("bigint").alias("a"), F.lit(y).cast("bigint").alias("b")) for x, y in zip(a, b)])
-    return F.transform(pairs, lambda p: F.coalesce(F.array_min(F.transform(hashes, lambda h: (p["a"] * h + p["b"]) % F.lit(PRIME).cast("bigint"))), F.lit(0).cast("bigint")))
+    least = lambda hs, p: F.coalesce(F.array_min(F.transform(hs, lambda h: (p["a"] * h + p["b"]) % F.lit(PRIME).cast("bigint"))), F.lit(0).cast("bigint"))
+    # the hashes are bound to a variable, so that they are computed once and not for every function
+    return F.transform(F.array(F.transform(bag, base_hash)), lambda hs: F.transform(pairs, lambda p: least(hs, p)))[0]

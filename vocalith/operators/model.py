@@ -31,13 +31,19 @@ def surprises(own: DataFrame, generic: DataFrame) -> DataFrame:
 def bpe_scores(hunks: DataFrame, key: str, tokens: Column, own: DataFrame, generic: DataFrame) -> DataFrame:
     """(key, bpe): the greatest surprise over a fragment's meaningful tokens, over all if none is, 0 without tokens. Each
     fragment sends each of its tokens once; tokens of neither table have equal chances and a surprise of their own."""
-    ot, gt = total(own).first()["total"], total(generic).first()["total"]
     toks = F.array_distinct(tokens)
     good = F.filter(toks, T.meaningful)
     base = hunks.select(key, F.explode_outer(F.when(F.size(good) > 0, good).otherwise(toks)).alias("token"))
-    unseen = V.surprise(F.lit(0), F.lit(gt), F.lit(0), F.lit(ot))
-    s = base.join(surprises(own, generic), "token", "left")
-    return s.groupBy(key).agg(F.coalesce(F.max(F.when(F.col("token").isNotNull(), F.coalesce("s", unseen))), F.lit(0.0)).alias("bpe"))
+    s = with_surprise(base, own, generic)
+    return s.groupBy(key).agg(F.coalesce(F.max(F.when(F.col("token").isNotNull(), F.col("s"))), F.lit(0.0)).alias("bpe"))
+
+
+def with_surprise(tokens: DataFrame, own: DataFrame, generic: DataFrame) -> DataFrame:
+    """tokens(..., token) with s; the totals are one row, joined on, so nothing is computed ahead."""
+    totals = total(own).select(F.col("total").alias("_ot")).crossJoin(F.broadcast(total(generic).select(F.col("total").alias("_gt"))))
+    unseen = totals.select(V.surprise(F.lit(0), F.col("_gt"), F.lit(0), F.col("_ot")).alias("_unseen"))
+    j = tokens.join(surprises(own, generic), "token", "left").crossJoin(F.broadcast(unseen))
+    return j.select(*tokens.columns, F.coalesce("s", "_unseen").alias("s"))
 
 
 def callee_files(files: DataFrame, file_key: str, callees: Column) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions import text as T
 from ..operators import model as M
 from ..operators import sampling
 from ..operators.verdict import arbitrate, thresholds
+from ..session import cut
 
 
 @dataclass
@@ -74,7 +75,7 @@ def calibrate(pool: DataFrame, m: Model, n: int, seeds: int, mode: str = "max",
     once; seeds are rows, not a loop. Calibration leaves the callee weights out, as the terms that normal code shares."""
     scored = stages(pool, m, alpha=0.0)
     h = F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col("entry_id").cast("string")))
-    drawn = sampling.top(scored.select("*", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed")), ["seed"], n, h, F.col("entry_id"))
+    drawn = cut(sampling.top(scored.select("*", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed")), ["seed"], n, h, F.col("entry_id")).drop("place"))  # n rows a seed
     per = thresholds(drawn.select("seed", (F.col("bpe") + F.col("contribution")).alias("score")), ["seed"], "score", mode, pct)
     return per.agg(F.coalesce(F.median("t"), F.lit(0.0)).alias("threshold"))
 

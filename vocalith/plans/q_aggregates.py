@@ -271,9 +271,7 @@ def token_surprises(spark: SparkSession, d: str, own: DataFrame, gen: DataFrame)
     toks = F.array_distinct(T.word_tokens(F.col("text")))
     good = F.filter(toks, T.meaningful)
     t = code(spark, d).where("side = 'held'").select("entry_id", F.explode(F.when(F.size(good) > 0, good).otherwise(toks)).alias("token"))
-    ot, gt = model.total(own).first()["total"], model.total(gen).first()["total"]
-    unseen = V.surprise(F.lit(0), F.lit(gt), F.lit(0), F.lit(ot))
-    return t.join(model.surprises(own, gen), "token", "left").select("entry_id", "token", F.coalesce("s", unseen).alias("s"))
+    return model.with_surprise(t, own, gen).select("entry_id", "token", "s")
 
 
 @query("WITH l AS (SELECT label = 0 AS y, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings), p AS (SELECT dim, x, sum(y::INT) AS p, count(*) AS c FROM l GROUP BY dim, x), r AS (SELECT *, sum(c) OVER (PARTITION BY dim ORDER BY x) - (c - 1) / 2 AS r FROM p), a AS (SELECT dim, (sum(r * p) - sum(p) * (sum(p) + 1) / 2) / (sum(p) * (sum(c) - sum(p))) AS a FROM r GROUP BY dim) SELECT dim, round(greatest(a, 1 - a), 6) AS auc FROM a")
