@@ -230,26 +230,28 @@ def nearest(rows: DataFrame, row_id: str, fields: dict[str, str], query: str, k:
                 for lo in range(0, len(at), 2048):
                     a, w = at[lo : lo + 2048], u[lo : lo + 2048]
                     p = (w @ rot).reshape(len(a), QUERY_TREES, DIMS)
-                    half = w.astype(np.float16)
+                    scale = np.abs(w).max(1) / 127
+                    small = np.round(w / scale[:, None]).astype(np.int8)
                     both = np.concatenate([p, -p], 2)
                     for t in range(QUERY_TREES):
                         key = (i * QUERY_TREES + t) * SYMBOLS + both[:, t].argmax(1)
                         slot = key * deal + ids[a] % deal
-                        _emit(out, slot, 0, ids[a], half)
+                        _emit(out, slot, 0, ids[a], scale, small)
                         q = ask[a]
                         if q.any():
                             order = np.argpartition(-both[q, t], probes, 1)[:, :probes]
                             for s in range(probes):
                                 for x in range(deal):
-                                    _emit(out, ((i * QUERY_TREES + t) * SYMBOLS + order[:, s]) * deal + x, 1, ids[a][q], half[q])
+                                    _emit(out, ((i * QUERY_TREES + t) * SYMBOLS + order[:, s]) * deal + x, 1, ids[a][q], scale[q], small[q])
             yield pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int8()), pa.array(out[2], pa.binary())], ["slot", "kind", "blob"])
 
-    entry = np.dtype([("id", np.int64), ("v", np.float16, DIMS)])
+    # vectors travel with eight bits a dimension; cosines are right to about a thousandth
+    entry = np.dtype([("id", np.int64), ("scale", np.float32), ("v", np.int8, DIMS)])
 
-    def _emit(out: tuple[list, list, list], slot: np.ndarray, kind: int, ids: np.ndarray, v: np.ndarray) -> None:
+    def _emit(out: tuple[list, list, list], slot: np.ndarray, kind: int, ids: np.ndarray, scale: np.ndarray, v: np.ndarray) -> None:
         order = np.argsort(slot, kind="stable")
         e = np.empty(len(slot), entry)
-        e["id"], e["v"] = ids[order], v[order]
+        e["id"], e["scale"], e["v"] = ids[order], scale[order], v[order]
         u, at = np.unique(slot[order], return_index=True)
         for s, x in zip(u.tolist(), np.split(e, at[1:])):
             out[0].append(s), out[1].append(kind), out[2].append(x.tobytes())
@@ -259,25 +261,43 @@ def nearest(rows: DataFrame, row_id: str, fields: dict[str, str], query: str, k:
         for b in batches:
             for s, kind, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 held.setdefault(s, ([], []))[kind].append(np.frombuffer(x, entry))
+        found: list[tuple] = []
+
+        def best() -> tuple:
+            """The k best of each query so far, each neighbour once."""
+            f, i, j, c = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((j, -c, i, f))
+            f, i, j, c = f[order], i[order], j[order], c[order]
+            new = np.ones(len(i), bool)
+            new[1:] = (f[1:] != f[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])  # a pair has the same cosine wherever it is met
+            f, i, j, c = f[new], i[new], j[new], c[new]
+            start = np.ones(len(i), bool)
+            start[1:] = (f[1:] != f[:-1]) | (i[1:] != i[:-1])
+            rank = np.arange(len(i)) - np.maximum.accumulate(np.where(start, np.arange(len(i)), 0))
+            keep = rank < k
+            return f[keep], i[keep], j[keep], c[keep]
+
         for s, (mine, asked) in held.items():
             if not mine or not asked:
                 continue
             r, q = np.concatenate(mine), np.concatenate(asked)
             r = r[np.unique(r["id"], return_index=True)[1]]
             q = q[np.unique(q["id"], return_index=True)[1]]
-            v = r["v"].astype(np.float32)
-            out: tuple[list, list, list] = ([], [], [])
+            v = r["v"].astype(np.float32) * r["scale"][:, None]
             for lo in range(0, len(q), 256):
                 part = q[lo : lo + 256]
-                sim = part["v"].astype(np.float32) @ v.T
+                sim = (part["v"].astype(np.float32) * part["scale"][:, None]) @ v.T
                 sim[part["id"][:, None] == r["id"][None, :]] = -2
                 m = min(k, sim.shape[1])
                 top = np.argpartition(-sim, m - 1, 1)[:, :m]
                 val = np.take_along_axis(sim, top, 1)
                 ok = val > -2
-                out[0].append(np.repeat(part["id"], m)[ok.ravel()]), out[1].append(r["id"][top][ok]), out[2].append(val[ok])
-            i, j, c = (np.concatenate(x) for x in out)
-            yield pa.record_batch([pa.array(np.full(len(i), s // deal // (QUERY_TREES * SYMBOLS), np.int32)), pa.array(i), pa.array(j), pa.array(c.astype(np.float64))], ["f", "id", "neighbour", "cosine"])
+                i = np.repeat(part["id"], m)[ok.ravel()]
+                found.append((np.full(len(i), s // deal // (QUERY_TREES * SYMBOLS), np.int32), i, r["id"][top][ok], np.round(val[ok], 4)))
+            if sum(len(x[1]) for x in found) > 4_000_000:
+                found[:] = [best()]
+        f, i, j, c = best() if found else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        yield pa.record_batch([pa.array(f.astype(np.int32)), pa.array(i), pa.array(j), pa.array(c.astype(np.float64))], ["f", "id", "neighbour", "cosine"])
 
     base = _fields(rows, row_id, fields)
     base = base.select("id", F.expr(query.replace(row_id, "id")).alias("ask"), *[c for c in base.columns if c != "id"])
@@ -286,4 +306,4 @@ def nearest(rows: DataFrame, row_id: str, fields: dict[str, str], query: str, k:
     # at most k a query and part: the lists of a query are bounded
     best = scored.groupBy("f", "id", "neighbour").agg(F.max("cosine").alias("cosine")).groupBy("f", "id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("minus"), "neighbour"))), 1, k).alias("near"))
     label = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("f") + 1)
-    return best.select(label.alias("field"), "id", F.posexplode("near").alias("place", "x")).select("field", "id", F.col("x.neighbour").alias("neighbour"), F.round(-F.col("x.minus"), 3).alias("cosine"), (F.col("place") + 1).alias("place"))
+    return best.select(label.alias("field"), "id", F.posexplode("near").alias("place", "x")).select("field", "id", F.col("x.neighbour").alias("neighbour"), F.round(-F.col("x.minus"), 2).alias("cosine"), (F.col("place") + 1).alias("place"))
