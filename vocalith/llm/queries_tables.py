@@ -109,12 +109,13 @@ SCORES = ("adjusted_bpe", "bpe_score", "import_score")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.highest(_ranked(spark, d), "run_id", "row_id", 3).select("run_id", "row_id")
+    # each place counts alike here, which the normal scores' mean does not give
+    return ranking.highest(_ranked(spark, d), "run_id", "row_id", 3, "percentile").select("run_id", "row_id")
 
 
 def p6_combined(spark: SparkSession, d: str) -> DataFrame:
     """The combined score of every row of the runs with at least 20 complete rows."""
-    return _ranked(spark, d).select("run_id", "row_id", "n", F.round("combined", 6).alias("combined"))
+    return _ranked(spark, d).select("run_id", "row_id", "n", F.round("percentile", 6).alias("percentile"), F.round("combined", 6).alias("combined"))
 
 
 QUERIES = {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
@@ -135,7 +136,12 @@ _CONTROLS = (
     " cuts AS (SELECT corpus, min(score) AS cutoff FROM sized WHERE kept / n <= keep_fraction GROUP BY corpus)"
 )
 
+_PLACE = "(rank() OVER (PARTITION BY run_id ORDER BY {0}) + (count(*) OVER (PARTITION BY run_id, {0}) - 1) / 2 - 0.5) / count(*) OVER (PARTITION BY run_id)"
+_SCORES = "s AS (SELECT row_id, any_value(run_id) AS run_id, " + ", ".join(f"any_value(features.{k}) AS {k}" for k in SCORES) + " FROM feature_rows GROUP BY row_id), ok AS (SELECT * FROM s WHERE run_id IS NOT NULL AND " + " AND ".join(f"NOT isnan({k})" for k in SCORES) + ")"
+
 SQL = {
+    "p6_found": f"WITH {_SCORES}, p AS (SELECT run_id, row_id, count(*) OVER (PARTITION BY run_id) AS n, round(({' + '.join(_PLACE.format(k) for k in SCORES)}) / 3, 9) AS p FROM ok),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY p DESC, row_id) AS r FROM p WHERE n >= 20) SELECT run_id, row_id FROM r WHERE r <= 3",
     "p1_found": "WITH RECURSIVE links AS MATERIALIZED (SELECT a, b FROM " + _LINKS + " UNION SELECT b, a FROM " + _LINKS + "),"
     " reach AS (SELECT a AS node, b AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),"
     " roots AS (SELECT node, least(node, min(other)) AS root FROM reach GROUP BY node),"

@@ -1,7 +1,9 @@
 """One ranking from several differently scaled scores.
 
 Each score becomes its empirical percentile within the group, ties sharing the mean place; the percentile goes through the
-inverse normal distribution; the weighted mean of these orders the items. No score decides by its unit or range.
+inverse normal distribution; the weighted mean of these orders the items. No score decides by its unit or range. The weighted
+mean of the percentiles themselves is given beside it: normal scores stretch the ends, so that an item first in two of three
+scores can pass one that is high in all three; where every place is to count alike, order by `percentile`.
 
 Ranks are counted over distinct values in blocks bounded by approximate quantiles, so that a group with a third of all
 rows is spread over many tasks, and a value that repeats is one row before anything is sorted.
@@ -59,24 +61,25 @@ def places(long: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def combine(items: DataFrame, group: str, item: str, weights: dict[str, float], block: int = BLOCK) -> DataFrame:
-    """items(group, item, one column per score) -> (group, item, n, combined), one row per item with all scores."""
+    """items(group, item, one column per score) -> (group, item, n, percentile, combined), one row per item with all scores."""
     names = sorted(weights)
     cols = [F.col(k).cast("double").alias(f"s{i}") for i, k in enumerate(names)]
     base = items.select(F.col(group).alias("grp"), F.col(item).alias("item"), *cols)
     ok = reduce(lambda a, b: a & b, [F.col(f"s{i}").isNotNull() & ~F.isnan(f"s{i}") for i in range(len(names))])
     base = base.where("grp is not null and item is not null").where(ok).dropDuplicates(["item"])
     long = base.select("grp", "item", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), (F.col(f"s{i}") + 0.0).alias("v")) for i in range(len(names))])).alias("x")).select("grp", "item", "x.k", "x.v")
-    z = inverse_normal((F.col("place") - 0.5) / F.col("n"))
-    at = places(long, block).select("grp", "k", "v", "n", z.alias("z"))
+    p = (F.col("place") - 0.5) / F.col("n")
+    at = places(long, block).select("grp", "k", "v", "n", p.alias("p"), inverse_normal(p).alias("z"))
     weight = F.element_at(F.array(*[F.lit(float(weights[k])) for k in names]), F.col("k") + 1)
     scale = float(sum(weights.values())) or 1.0
-    out = long.join(at, ["grp", "k", "v"]).groupBy("grp", "item").agg(F.first("n").alias("n"), (F.sum(F.round(F.col("z"), 12) * weight) / scale).alias("combined"))
-    return out.select(F.col("grp").alias(group), F.col("item").alias(item), "n", "combined")
+    mean = lambda c: F.sum(F.round(F.col(c), 12) * weight) / scale
+    out = long.join(at, ["grp", "k", "v"]).groupBy("grp", "item").agg(F.first("n").alias("n"), F.round(mean("p"), 9).alias("percentile"), mean("z").alias("combined"))
+    return out.select(F.col("grp").alias(group), F.col("item").alias(item), "n", "percentile", "combined")
 
 
-def highest(ranked: DataFrame, group: str, item: str, k: int, block: int = 64) -> DataFrame:
-    """The k items of each group that stand highest; first within hashed parts of a group, then among these."""
+def highest(ranked: DataFrame, group: str, item: str, k: int, by: str = "combined", block: int = 64) -> DataFrame:
+    """The k items of each group that stand highest by `by`; first within hashed parts of a group, then among these."""
     parts = ranked.withColumn("part", F.pmod(F.xxhash64(item), F.lit(block)))
-    order = [F.desc("combined"), F.col(item)]
+    order = [F.desc(by), F.col(item)]
     first = parts.withColumn("r", F.row_number().over(W.partitionBy(group, "part").orderBy(*order))).where(F.col("r") <= k)
     return first.withColumn("r", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("r") <= k).drop("part").withColumnRenamed("r", "place")
