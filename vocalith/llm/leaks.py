@@ -233,7 +233,7 @@ def _streamer(held):  # noqa: ANN001, ANN202
             out = []
             for kind, auto in autos.items():
                 number, split, vocabulary = known[kind], SPLIT[kind], auto.vocabulary
-                if len(number) > 1_000_000:
+                if len(number) > 300_000:
                     number.clear()
                 rows, at = [], []
                 for text in texts:

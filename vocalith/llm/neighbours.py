@@ -149,7 +149,7 @@ def candidates(rows: DataFrame, row_id: str, fields: dict[str, str], least: floa
                 _, first = np.unique(cls[at], return_index=True)
                 new = np.array([k for k in first.tolist() if int(cls[at[k]]) not in seen[i]], np.int64)
                 seen[i].update(cls[at[new]].tolist())
-                if len(seen[i]) > 1_000_000:
+                if len(seen[i]) > 250_000:
                     seen[i].clear()
                 for lo in range(0, len(new), 2048):
                     k = new[lo : lo + 2048]
