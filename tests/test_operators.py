@@ -176,7 +176,7 @@ def test_python_parsers():
     text = '"""Doc\nlong."""\nimport os.path, sys\nfrom a.b import c\nfrom . import d\n@deco\ndef f(x):\n    # note\n    if x:\n        return g.h(x)\n    try:\n        k()()\n    except E:\n        raise V(1)\nclass C:\n    pass\n'
     assert P.python_imports(text) == ["os", "sys", "a"]
     assert [s[0] for s in P.import_spans(text, "python")] == ["os", "sys", "a"]
-    assert P.python_callees(text) == ["g.h", None, "k", "V"] or sorted(map(str, P.python_callees(text))) == ["None", "V", "g.h", "k"]
+    assert sorted(map(str, P.python_callees(text))) == ["None", "V", "g.h", "k"]
     assert P.sampleable(text, "python") == [(7, 14), (15, 16)]
     assert P.prose_lines(text, "python") == [1, 2, 8]
     assert P.handler_counts(text, "python") == (0, 1) and P.guards(text, "python") == 1.0
@@ -189,7 +189,7 @@ def test_typescript_parsers():
     assert P.typescript_imports(text) == ["x/y", "q"]
     assert [(s, n) for s, n, _, _ in P.import_spans(text, "typescript")] == [("x/y", 1), ("q", 3)]
     assert "g.h" in P.typescript_callees(text) and "Error" in P.typescript_callees(text) and "<call>.z" in P.typescript_callees(text)
-    assert P.sampleable(text, "typescript") == [(6, 9), (10, 12)] or (6, 9) in P.sampleable(text, "typescript")
+    assert P.sampleable(text, "typescript") == [(6, 9), (10, 12)]
     assert P.prose_lines(text, "typescript") == [3, 4, 5]
     assert not P.fragment(text, "typescript") and P.fragment("}", "typescript")
 
