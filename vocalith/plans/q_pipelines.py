@@ -13,7 +13,7 @@ from ..sources.tables import CODE_SQL, SCORED_SQL, code, scored
 from . import pipelines as P
 from .q_aggregates import AUC, BPE, FLAG, INEL, flagged
 from .q_joins import TOK
-from .registry import query
+from .registry import SQL, query
 
 _CALLS = r"""calls AS (SELECT entry_id, corpus, side, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '\b(def|function|class|if|for|while|with|switch|catch|return|await|new|in|not|and|or|is)\b', chr(1), 'g'), '([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*)\(', 1))) AS callee FROM code),
  att AS (SELECT DISTINCT callee, string_split(callee, '.')[1] AS root FROM calls WHERE side = 'train')"""
@@ -135,6 +135,14 @@ def pip10_stored_report(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("corpus string, auc double").json(path).select("corpus", F.round("auc", 4).alias("auc"))
 
 
+@query(SQL["pip8_corpus_run"])
+def snk6_report_json(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON object per corpus with its measures."""
+    path = shared_path(spark, "corpus-json")
+    pip8_corpus_run(spark, d).write.json(path)
+    return spark.read.schema("corpus string, auc double, recall double, fp double, threshold double").json(path)
+
+
 @query(f"WITH {CODE_SQL} SELECT lang, 3.0::DOUBLE AS threshold FROM code WHERE side = 'train' GROUP BY lang")
 def snk4_settings(spark: SparkSession, d: str) -> DataFrame:
     """Settings of each language written as JSON of version 2 and read again."""

@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..session import shared_path, table
 from ..sources import jsonl, modules
 from ..sources.tables import CODE_SQL, HUNKS_SQL, code, hunks
-from .registry import query
+from .registry import SQL, query
 
 LINES = r"CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(regexp_replace(text, '\r\n|\r', chr(10), 'g'), '\n\z', ''), chr(10)) END"
 
@@ -158,3 +158,11 @@ def snk5_feature_json(spark: SparkSession, d: str) -> DataFrame:
     f.select(F.to_json(F.struct("corpus", F.struct(*[F.col(f"features.{n}") for n in names]).alias("features"), "row_id")).alias("value")).write.text(path)
     back = spark.read.schema("corpus string, features struct<n_returns: int>, row_id long").json(path)
     return back.join(F.broadcast(table(spark, d, "targets").select(F.col("name").alias("corpus"))), "corpus", "left_semi").groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.sum("features.n_returns").alias("returns"))
+
+
+@query(SQL["src12_generic_baseline"])
+def snk3_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """The generic baseline as a stored table."""
+    path = shared_path(spark, "baseline")
+    src12_generic_baseline(spark, d).write.parquet(path)
+    return spark.read.parquet(path)
