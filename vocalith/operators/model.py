@@ -96,5 +96,6 @@ def nearest_cluster(bags: DataFrame, key: str, cluster_bags: DataFrame) -> DataF
 
 
 def foreign(specs: DataFrame, modules: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The rows of specs(..., spec) neither in modules(spec) nor beginning with one of prefixes(prefix)."""
+    """The rows of specs(..., spec) neither in modules(spec) nor beginning with one of prefixes(prefix), the few that compiler
+    settings name."""
     return specs.join(modules.select("spec").distinct(), "spec", "left_anti").join(F.broadcast(prefixes.select("prefix")), F.col("spec").startswith(F.col("prefix")), "left_anti")

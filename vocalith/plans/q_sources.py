@@ -95,8 +95,9 @@ def src11_pruned_scan(spark: SparkSession, d: str) -> DataFrame:
 def src12_generic_baseline(spark: SparkSession, d: str) -> DataFrame:
     """The generic baseline as token counts, stored as one JSON map and exploded from it."""
     counts = table(spark, d, "documents").select(F.explode(T.word_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    # maps of bounded size: one per block of tokens
-    stored = counts.groupBy(F.pmod(F.xxhash64("token"), F.lit(64)).alias("block")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("token", "n")))).alias("js"))
+    # maps of about ten thousand tokens: their number follows the vocabulary
+    blocks = max(1, counts.count() // 10_000)
+    stored = counts.groupBy(F.pmod(F.xxhash64("token"), F.lit(blocks)).alias("block")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("token", "n")))).alias("js"))
     return stored.select(F.explode(F.from_json("js", T_.MapType(T_.StringType(), T_.LongType()))).alias("token", "n"))
 
 
