@@ -99,6 +99,19 @@ def srt11_output_order(spark: SparkSession, d: str) -> DataFrame:
     return top.select("row_id", F.row_number().over(W.orderBy(F.desc("best"), "corpus", "file_path", "hunk_start_line", "row_id")).cast("long").alias("place"))
 
 
+@query(f"WITH {SCORED_SQL}, b AS (SELECT corpus, file_path, max(bpe_score) AS best FROM scored WHERE bpe_score >= 3 GROUP BY corpus, file_path) SELECT s.row_id, row_number() OVER (ORDER BY b.best DESC, s.corpus, s.file_path, s.hunk_start_line, s.row_id) AS place FROM scored s JOIN b ON s.corpus = b.corpus AND s.file_path = b.file_path WHERE s.bpe_score >= 3")
+def srt11_output_order_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Files by their highest score, hits by line: every hit of the report with its place in it."""
+    s = scored(spark, d).where("bpe_score >= 3").select("row_id", "corpus", "file_path", "hunk_start_line", "bpe_score")
+    f = s.groupBy("corpus", "file_path").agg((-F.max("bpe_score")).alias("down"), F.count(F.lit(1)).alias("hits"))
+    # hits of files with a higher score are counted in blocks; files of one score follow by corpus, then by name
+    above = ranks.before(f.groupBy("down").agg(F.sum("hits").alias("n")), [], "down", "n").select("down", "_before")
+    c = f.groupBy("down", "corpus").agg(F.sum("hits").alias("n")).withColumn("_corpora", F.sum("n").over(W.partitionBy("down").orderBy("corpus")) - F.col("n")).drop("n")
+    at = f.withColumn("_files", F.sum("hits").over(W.partitionBy("down", "corpus").orderBy("file_path")) - F.col("hits")).join(c, ["down", "corpus"]).join(above, "down")
+    line = F.row_number().over(W.partitionBy("corpus", "file_path").orderBy("hunk_start_line", "row_id"))
+    return s.join(at, ["corpus", "file_path"]).select("row_id", (F.col("_before") + F.col("_corpora") + F.col("_files") + line).cast("long").alias("place"))
+
+
 @query(f"WITH {SCORED_SQL} SELECT corpus, row_id, place FROM (SELECT corpus, row_id, row_number() OVER (PARTITION BY corpus ORDER BY bpe_score DESC, row_id) AS place FROM scored WHERE is_break = false AND bpe_score IS NOT NULL) WHERE place <= 5")
 def srt12_top_controls(spark: SparkSession, d: str) -> DataFrame:
     s = scored(spark, d).where("is_break = false and bpe_score is not null").select("corpus", "row_id", "bpe_score")
