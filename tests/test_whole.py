@@ -1,8 +1,13 @@
 """Queries that must cover the whole job: nothing after a cap, in a second half or past a prefix may be lost."""
 
-from helpers import DATA, rows_of, rows_of_sql
+import numpy as np
+import pytest
+from helpers import DATA
+from pyspark.sql import functions as F
 
-from vocalith.plans import catalog
+from vocalith.functions import parse as P
+from vocalith.plans import catalog, pipelines
+from vocalith.sources.tables import code
 
 
 def test_every_hit_has_its_place(spark, duck):
@@ -11,3 +16,34 @@ def test_every_hit_has_its_place(spark, duck):
     assert hits > 200 and sorted(r["place"] for r in got) == list(range(1, hits + 1))
     first = {tuple(r) for r in catalog.QUERIES["srt11_output_order"](spark, DATA).select("row_id", "place").collect()}
     assert first == {(r["row_id"], r["place"]) for r in got if r["place"] <= 200}
+
+
+def test_all_stages_reach_the_verdict(spark):
+    files = spark.createDataFrame([(1, "c", "import os\nknown(1)", "python"), (2, "c", "import a from 'left-pad'", "typescript")], "entry_id int, corpus string, text string, lang string")
+    m = pipelines.fit(files, files, parsed=True)
+    texts = [
+        ("import os\nimport torch\nimport torch.nn", "python", False),
+        ("import os", "python", False),
+        ("import x from 'vue'", "typescript", False),
+        ("import y from '@app/x'", "typescript", False),
+        ("X = [1, 2, 3, 4, 5, 6]", "python", False),
+        ("known(1)", "python", True),
+        ("odd.call(1", "python", False),
+        ("odd.call(1)", "python", False),
+    ]
+    h = spark.createDataFrame([(i, "c", *t) for i, t in enumerate(texts)], "entry_id int, corpus string, text string, lang string, atypical_file boolean")
+    prefixes = spark.createDataFrame([("@app/",)], "prefix string")
+    v = pipelines.verdicts(pipelines.guarded(pipelines.stages(h, m), h, m, prefixes), F.lit(0.5))
+    got = {r["entry_id"]: (r["import_score"], r["contribution"], r["reason"], r["flagged"], round(r["score"], 6)) for r in v.collect()}
+    assert got[0] == (1.0, 0.0, "import", True, 1.0) and got[2] == (1.0, 0.0, "import", True, 1.0)
+    assert got[1] == got[3] == (0.0, 0.0, "none", False, 0.0)
+    assert got[4] == (0.0, 0.0, "atypical", False, 0.0) and got[5] == (0.0, 0.0, "atypical_file", False, 0.0)
+    assert got[6] == (0.0, 0.0, "none", False, 0.0) and got[7] == (0.0, 2.0, "call_receiver", True, 2.0)
+
+
+def test_cut_texts_have_no_contribution(spark):
+    cut = {r["entry_id"] for r in code(spark, DATA).collect() if P.fragment(r["text"], r["lang"])}
+    plain, got = ({r["entry_id"]: r for r in catalog.QUERIES[n](spark, DATA).collect()} for n in ("pip1_score_hunk", "pip1_score_hunk_parsed"))
+    assert plain.keys() == got.keys() and cut & got.keys()
+    for k, r in got.items():
+        assert r["contribution"] == (0.0 if k in cut else plain[k]["contribution"])

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import parse as P
 from ..functions import text as T
 from ..operators import model as M
 from ..operators import sampling
@@ -20,30 +21,39 @@ from ..session import cut
 
 @dataclass
 class Model:
-    """own, generic: (token, n); known: (callee, root); by_cluster: (cluster_id, callee, n_files); sizes: (cluster_id, size)."""
+    """own, generic: (token, n); known: (callee, root); by_cluster: (cluster_id, callee, n_files); sizes: (cluster_id, size); modules:
+    (spec), what the files import by parser, without which foreign imports can't be told."""
 
     own: DataFrame
     generic: DataFrame
     known: DataFrame
     by_cluster: DataFrame
     sizes: DataFrame
+    modules: DataFrame | None = None
 
     def write(self, path: str) -> None:
-        for name in ("own", "generic", "known", "by_cluster", "sizes"):
+        for name in ("own", "generic", "known", "by_cluster", "sizes", *(["modules"] if self.modules is not None else [])):
             getattr(self, name).write.mode("error").parquet(f"{path}/{name}")
 
     @classmethod
-    def read(cls, spark, path: str) -> Model:  # noqa: ANN001
-        return cls(*[spark.read.parquet(f"{path}/{n}") for n in ("own", "generic", "known", "by_cluster", "sizes")])
+    def read(cls, spark, path: str, modules: bool = False) -> Model:  # noqa: ANN001
+        return cls(*[spark.read.parquet(f"{path}/{n}") for n in ("own", "generic", "known", "by_cluster", "sizes", *(["modules"] if modules else []))])
 
 
-def fit(files: DataFrame, generic_text: DataFrame, cluster: str = "corpus") -> Model:
-    """files(entry_id, corpus, text) of the corpus; generic_text(text) of the baseline."""
+def imports(df: DataFrame, key: str) -> DataFrame:
+    """df(key, text, lang) -> (key, spec): what each text imports, each once; nothing of Python that does not parse."""
+    found = P.column(lambda t, g: P.python_imports(t) if g == "python" else P.typescript_imports(t), "array<string>")
+    return df.select(key, F.explode(found("text", "lang")).alias("spec"))
+
+
+def fit(files: DataFrame, generic_text: DataFrame, cluster: str = "corpus", parsed: bool = False) -> Model:
+    """files(entry_id, corpus, text) of the corpus, with lang if parsed, for its modules; generic_text(text) of the baseline."""
     tokens = T.word_tokens(F.col("text"))
     calls = files.select("entry_id", F.col(cluster).alias("cluster_id"), F.explode(F.array_distinct(T.callees(F.col("text")))).alias("callee"))
     by = calls.groupBy("cluster_id", "callee").agg(F.count(F.lit(1)).alias("n_files"))
     sizes = files.groupBy(F.col(cluster).alias("cluster_id")).agg(F.count(F.lit(1)).alias("size"))
-    return Model(M.token_counts(files, tokens), M.token_counts(generic_text, tokens), M.attested(calls), by, sizes)
+    modules = imports(files, "entry_id").select("spec").distinct() if parsed else None
+    return Model(M.token_counts(files, tokens), M.token_counts(generic_text, tokens), M.attested(calls), by, sizes, modules)
 
 
 def stages(hunks: DataFrame, m: Model, routing: str = "none", alpha: float = 2.0, root_bonus: float = 2.0, beta: float = 5.0, tau: int = 0, cap: float = 5.0) -> DataFrame:
@@ -63,11 +73,33 @@ def stages(hunks: DataFrame, m: Model, routing: str = "none", alpha: float = 2.0
     return out.select("entry_id", F.lit(0.0).alias("import_score"), "bpe", contribution.alias("contribution"))
 
 
+def guarded(scored: DataFrame, hunks: DataFrame, m: Model, prefixes: DataFrame | None = None) -> DataFrame:
+    """The output of stages with what needs a parser, for hunks(entry_id, text, lang, and atypical_file if known): import_score is
+    the number of imports foreign to the model's modules and to prefixes(prefix), a text that does not stand on its own has no
+    contribution, and what is atypical has no scores but that as its barred reason."""
+    if m.modules is None:
+        raise ValueError("foreign imports need a model that was fitted with its modules")
+    own = imports(hunks, "entry_id")
+    foreign = own.join(m.modules, "spec", "left_anti") if prefixes is None else M.foreign(own, m.modules, prefixes)
+    n = foreign.groupBy("entry_id").agg(F.count(F.lit(1)).cast("double").alias("_foreign"))
+    names = ("literal_ratio", "control_density", "entropy", "distinct_ratio", "n_leaves")
+    typical = P.struct_column(P.typicality, names, "literal_ratio double, control_density double, entropy double, distinct_ratio double, n_leaves int")
+    of_file = F.coalesce("atypical_file", F.lit(False)) if "atypical_file" in hunks.columns else F.lit(False)
+    h = hunks.select("entry_id", typical("text", "lang").alias("_t"), P.column(P.fragment, "boolean")("text", "lang").alias("_fragment"), of_file.alias("_file"))
+    h = h.select("entry_id", "_fragment", F.when((F.col("_t.n_leaves") >= 5) & (F.col("_t.literal_ratio") > 0.8), "atypical").when(F.col("_file"), "atypical_file").alias("barred"))
+    j = scored.drop("import_score").join(h, "entry_id").join(n, "entry_id", "left")
+    zero = lambda c: F.when(F.col("barred").isNotNull(), 0.0).otherwise(c)
+    contribution = F.when(F.col("_fragment"), 0.0).otherwise(F.col("contribution"))
+    return j.select("entry_id", zero(F.coalesce("_foreign", F.lit(0.0))).alias("import_score"), zero(F.col("bpe")).alias("bpe"), zero(contribution).alias("contribution"), "barred")
+
+
 def verdicts(scored: DataFrame, limit) -> DataFrame:  # noqa: ANN001
-    """scored(entry_id, import_score, bpe, contribution) with reason, flagged and score."""
-    reason = arbitrate(F.col("import_score"), F.col("bpe"), F.col("contribution"), limit)
+    """scored(entry_id, import_score, bpe, contribution, and barred if guarded) with reason, flagged and score."""
+    barred = F.col("barred") if "barred" in scored.columns else F.lit(None).cast("string")
+    reason = F.coalesce(barred, arbitrate(F.col("import_score"), F.col("bpe"), F.col("contribution"), limit))
     out = scored.withColumn("reason", reason)
-    return out.withColumn("flagged", F.col("reason") != "none").withColumn("score", F.when(F.col("reason") == "call_receiver", F.col("bpe") + F.col("contribution")).otherwise(F.col("bpe")))
+    score = F.when(F.col("reason") == "call_receiver", F.col("bpe") + F.col("contribution")).when(F.col("reason") == "import", F.col("import_score")).otherwise(F.col("bpe"))
+    return out.withColumn("flagged", (F.col("reason") != "none") & barred.isNull()).withColumn("score", score)
 
 
 def calibrate(pool: DataFrame, m: Model, n: int, seeds: int, mode: str = "max", pct: float = 95.0) -> DataFrame:

@@ -12,6 +12,7 @@ from ..session import shared_path, table
 from ..sources.tables import CODE_SQL, SCORED_SQL, code, scored
 from . import pipelines as P
 from .q_aggregates import AUC, BPE, FLAG, INEL, flagged
+from .q_filters import typicality
 from .q_joins import TOK
 from .registry import SQL, query
 
@@ -31,6 +32,18 @@ def _held(spark: SparkSession, d: str) -> DataFrame:
     return code(spark, d).where("side = 'held'")
 
 
+def _held_in_files(spark: SparkSession, d: str) -> DataFrame:
+    """As _held, with atypical_file: whether the stored fragments of the file hold 100 leaves, more than 80 % of them literals."""
+    t = typicality(code(spark, d).select("corpus", "path", "text", "lang")).select("corpus", "path", "t.n_leaves", (F.col("t.n_leaves") * F.col("t.literal_ratio")).alias("l"))
+    f = t.groupBy("corpus", "path").agg(F.sum("n_leaves").alias("n"), F.sum("l").alias("l"))
+    return _held(spark, d).join(f.where("n >= 100 and l / n > 0.8").select("corpus", "path", F.lit(True).alias("atypical_file")), ["corpus", "path"], "left")
+
+
+def _guarded(spark: SparkSession, d: str, hunks: DataFrame, **how) -> DataFrame:  # noqa: ANN003
+    m = P.fit(code(spark, d).where("side = 'train'"), table(spark, d, "documents"), parsed=True)
+    return P.guarded(P.stages(hunks, m, **how), hunks, m)
+
+
 @query(f"WITH {BPE}, {_CALLS}, {_PLAIN}, {_VERDICT} SELECT entry_id, 0.0::DOUBLE AS import_score, round(bpe, 6) AS bpe, con::DOUBLE AS contribution, reason, reason <> 'none' AS flagged, round(CASE WHEN reason = 'call_receiver' THEN bpe + con ELSE bpe END, 6)::DOUBLE AS score FROM v")
 def pip1_score_hunk(spark: SparkSession, d: str) -> DataFrame:
     """Every fragment under test with its stage scores, the winning stage and the verdict."""
@@ -38,12 +51,25 @@ def pip1_score_hunk(spark: SparkSession, d: str) -> DataFrame:
     return v.select("entry_id", "import_score", F.round("bpe", 6).alias("bpe"), "contribution", "reason", "flagged", F.round("score", 6).alias("score"))
 
 
+@query()
+def pip1_score_hunk_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """All stages: typicality, foreign imports, callees with the guard against cut texts, tokens, arbitration."""
+    v = P.verdicts(_guarded(spark, d, _held_in_files(spark, d)), F.lit(_T))
+    return v.select("entry_id", "import_score", F.round("bpe", 6).alias("bpe"), "contribution", "reason", "flagged", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {BPE}, {_CALLS}, {_STATIC}, {_VERDICT} SELECT entry_id, con::DOUBLE AS contribution, reason FROM v")
 def pip1_score_hunk_clustered(spark: SparkSession, d: str) -> DataFrame:
     """The same with the cluster and rarity rules."""
     return P.verdicts(P.stages(_held(spark, d), _model(spark, d), routing="static", tau=2), F.lit(_T)).select("entry_id", "contribution", "reason")
 
 
+@query()
+def pip1_score_hunk_clustered_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """All stages with the cluster and rarity rules."""
+    return P.verdicts(_guarded(spark, d, _held_in_files(spark, d), routing="static", tau=2), F.lit(_T)).select("entry_id", "contribution", "reason")
+
+
 @query(f"WITH {BPE}, {_CALLS} SELECT 'own' AS name, count(*) AS n FROM own UNION ALL SELECT 'generic', count(*) FROM gen UNION ALL SELECT 'known', count(*) FROM (SELECT DISTINCT callee FROM att) UNION ALL SELECT 'by_cluster', count(*) FROM (SELECT DISTINCT corpus, callee FROM calls WHERE side = 'train') UNION ALL SELECT 'sizes', count(DISTINCT corpus) FROM code WHERE side = 'train'")
 def pip2_fit(spark: SparkSession, d: str) -> DataFrame:
     """The model written as tables and read again: rows of each."""
@@ -88,9 +114,19 @@ def pip5_auto_detect(spark: SparkSession, d: str) -> DataFrame:
 def pip6_features(spark: SparkSession, d: str) -> DataFrame:
     """A feature row per fragment under test."""
     h = _held(spark, d)
-    s = P.stages(h, _model(spark, d))
+    return _features(h, P.stages(h, _model(spark, d)))
+
+
+def _features(h: DataFrame, s: DataFrame, *more: str) -> DataFrame:
     n = h.select("entry_id", F.size(F.array_distinct(T.callees(F.col("text")))).cast("long").alias("n_callees"), F.length("text").cast("long").alias("n_chars"))
-    return s.join(n, "entry_id").select("entry_id", F.round("bpe", 6).alias("bpe"), "contribution", "n_callees", "n_chars", F.round(F.col("bpe") + F.col("contribution"), 6).alias("adjusted"))
+    return s.join(n, "entry_id").select("entry_id", *more, F.round("bpe", 6).alias("bpe"), "contribution", "n_callees", "n_chars", F.round(F.col("bpe") + F.col("contribution"), 6).alias("adjusted"))
+
+
+@query()
+def pip6_features_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """The same of all stages, with the import score."""
+    h = _held_in_files(spark, d)
+    return _features(h, _guarded(spark, d, h), "import_score")
 
 
 @query(f"WITH {BPE}, k AS (SELECT entry_id, any_value(is_break) AS is_break FROM manifest_entries GROUP BY entry_id) SELECT k.is_break, count(*) AS n, round(avg(bpe), 5) AS mean, round(max(bpe), 5) AS best FROM bpe JOIN k USING (entry_id) GROUP BY k.is_break")
@@ -121,12 +157,23 @@ def pip8_corpus_run(spark: SparkSession, d: str) -> DataFrame:
 def pip9_check(spark: SparkSession, d: str) -> DataFrame:
     """What a check reports: flagged fragments of files in scope, at least suspicious, files by highest score, hits by line."""
     c = _held(spark, d).where(~T.glob(F.col("path"), "*/net/*"))
-    v = P.verdicts(P.stages(c, _model(spark, d)), F.lit(_T)).withColumn("severity", T.severity(F.col("bpe"), F.lit(_T)))
+    return _hits(c, P.stages(c, _model(spark, d)))
+
+
+def _hits(c: DataFrame, s: DataFrame) -> DataFrame:
+    v = P.verdicts(s, F.lit(_T)).withColumn("severity", T.severity(F.col("bpe"), F.lit(_T)))
     hits = v.where(F.col("flagged") & (T.severity_rank(F.col("severity")) >= 1)).join(c.select("entry_id", "corpus", "path", "start"), "entry_id")
     best = hits.groupBy("corpus", "path").agg(F.max("bpe").alias("best"))
     return hits.join(best, ["corpus", "path"]).orderBy(F.desc("best"), "corpus", "path", "start", "entry_id").select("entry_id", "reason", "severity")
 
 
+@query()
+def pip9_check_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """The same report of all stages."""
+    c = _held_in_files(spark, d).where(~T.glob(F.col("path"), "*/net/*"))
+    return _hits(c, _guarded(spark, d, c))
+
+
 @query(f"WITH {SCORED_SQL}, {AUC} SELECT corpus, round(auc, 4) AS auc FROM a")
 def pip10_stored_report(spark: SparkSession, d: str) -> DataFrame:
     """Reports written as JSON and read again."""
