@@ -3,7 +3,8 @@
 Directions are standardised and reduced to their first COMPONENTS principal components, from moments summed over all rows of a
 source. A bounded sample of each source (SAMPLE rows by a hash of the id) only gives starting points; from there every pass of
 expectation-maximisation is over all rows, and only sums per source leave the tasks. Variances are diagonal, drawn a little to
-their mean and kept off zero. The number of groups is the one with the least Bayesian information criterion over all rows.
+their mean and kept off zero. The number of groups is the one with the least Bayesian information criterion over all rows; numbers
+are tried GROUPS_AT_ONCE at a time, and more as long as the largest one tried is the best.
 The rows of highest density stand for a group.
 
 Defined results: a row counts once by its id; rows without source, id or usable vector are in no group; a source of one row is one
@@ -27,7 +28,7 @@ from ..session import cut
 from .neighbours import DIMS, usable
 
 COMPONENTS = 12
-MOST_GROUPS = 12
+GROUPS_AT_ONCE = 12
 SAMPLE = 1500
 FLOOR = 0.02  # least variance, as a share of the mean variance of the source's components
 SHRINK = 0.1  # of each variance towards the group's mean variance
@@ -176,30 +177,59 @@ def mixtures(reduced: DataFrame) -> dict[str, tuple]:
     share = F.create_map(*[F.lit(x) for s, n in counts.items() for x in (s, min(1.0, SAMPLE / n))])
     picked = reduced.where(F.pmod(h, F.lit(1 << 30)) / float(1 << 30) < F.try_element_at(share, F.col("source")))
 
-    def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id")
-        z = np.stack(pdf["z"].to_numpy()).astype(np.float64)
-        rng = np.random.default_rng(3)
-        level = float(z.var(0).mean()) or 1.0
-        got = [(k, pickle.dumps((level, start(z, k, rng)))) for k in range(1, min(MOST_GROUPS, len(z)) + 1)]
-        return pd.DataFrame({"source": key[0], "k": [k for k, _ in got], "blob": [x for _, x in got]})
+    def starts(tried: dict[str, int]) -> dict[tuple, tuple]:
+        """Starting points of the next numbers of groups of each source, after those tried."""
 
-    mixes = {(r["source"], r["k"]): pickle.loads(r["blob"]) for r in picked.groupBy("source").applyInPandas(first, "source string, k int, blob binary").collect()}
+        def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("row_id")
+            z = np.stack(pdf["z"].to_numpy()).astype(np.float64)
+            low = tried[key[0]]
+            rng = np.random.default_rng([3, low] if low else 3)
+            level = float(z.var(0).mean()) or 1.0
+            got = [(k, pickle.dumps((level, start(z, k, rng)))) for k in range(low + 1, min(low + GROUPS_AT_ONCE, len(z)) + 1)]
+            return pd.DataFrame({"source": [key[0]] * len(got), "k": [k for k, _ in got], "blob": [x for _, x in got]})
+
+        of = picked.where(F.col("source").isin(list(tried))).groupBy("source")
+        return {(r["source"], r["k"]): pickle.loads(r["blob"]) for r in of.applyInPandas(first, "source string, k int, blob binary").collect()}
+
+    mixes = starts(dict.fromkeys(counts, 0))
     for s in counts.keys() - {s for s, _ in mixes}:  # no row was picked of a tiny source
         mixes[s, 1] = (1.0, (np.ones(1), np.zeros((1, COMPONENTS)), np.ones((1, COMPONENTS))))
     last: dict[tuple, float] = {}
     score: dict[tuple, float] = {}
     spark = reduced.sparkSession
-    for turn in range(PASSES):
+
+    def passed(mixes: dict[tuple, tuple], rows: DataFrame) -> dict[tuple, list[np.ndarray]]:
+        """The sums of one pass over all rows; the criterion of each mixture is kept."""
         held = spark.sparkContext.broadcast(mixes)
 
         def passes(s: str, b: pa.RecordBatch, held=held) -> dict[int, list]:  # noqa: ANN001
             z = _matrix(b.column(1), COMPONENTS).astype(np.float64)
             return {k: expect(z, mix) for (t, k), (_, mix) in held.value.items() if t == s}
 
-        sums = _sums_of(reduced, passes, ["z"])
+        sums = _sums_of(rows, passes, ["z"])
         for key, x in sums.items():
             score[key] = criterion(x[0][0], x[1][0], key[1], COMPONENTS)
+        return sums
+
+    def at_the_end(tried: dict[str, int]) -> dict[str, int]:
+        """The sources whose best number of groups is the largest one tried, unless too few rows were picked for all numbers."""
+        best = {s: min((score[t, k], k) for t, k in score if t == s)[1] for s in tried}
+        return {s: n for s, n in tried.items() if best[s] == n}
+
+    for turn in range(PASSES):
+        sums = passed(mixes, reduced)
+        tried = at_the_end(dict.fromkeys(counts, GROUPS_AT_ONCE)) if turn == 1 else {}
+        while tried:
+            more = starts(tried)
+            if not more:
+                break
+            rows = reduced.where(F.col("source").isin(list(tried)))
+            once = passed(more, rows)
+            more = {key: (level, maximise(once[key], level)) for key, (level, _) in more.items()}
+            mixes |= more
+            sums |= passed(more, rows)
+            tried = at_the_end({s: n + GROUPS_AT_ONCE for s, n in tried.items()})
         if turn >= 1:  # after two passes only the best number and its neighbours are carried on
             best = {}
             for (s, k), v in sorted(score.items()):

@@ -37,14 +37,14 @@ def _grouped(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     g = _grouped(spark, d)
-    names = F.broadcast(groups.named(g).where("group_id is not null"))  # at most MOST_GROUPS rows a corpus
+    names = F.broadcast(groups.named(g).where("group_id is not null"))  # a row per group
     return g.join(names, ["source", "grp"]).where("cluster_id is null or cluster_id <> group_id").select("row_id", F.col("group_id").alias("cluster_id"))
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     """Each group: its id, rows, rows whose stored id differs, and its three most typical rows."""
     g = _grouped(spark, d)
-    names = F.broadcast(groups.named(g))  # at most MOST_GROUPS rows a corpus
+    names = F.broadcast(groups.named(g))  # a row per group
     wrong = g.join(names, ["source", "grp"]).groupBy("source", "grp", "group_id", "size").agg(F.count_if(F.col("cluster_id").isNull() | (F.col("cluster_id") != F.col("group_id"))).alias("n_wrong"))
     rows = groups.typical(g).groupBy("source", "grp").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "row_id"))), lambda x: x["row_id"]).alias("typical"))
     return wrong.join(rows, ["source", "grp"]).select(F.col("source").alias("corpus"), "grp", F.col("group_id").alias("cluster_id"), "size", "n_wrong", "typical")
