@@ -47,3 +47,15 @@ def test_cut_texts_have_no_contribution(spark):
     assert plain.keys() == got.keys() and cut & got.keys()
     for k, r in got.items():
         assert r["contribution"] == (0.0 if k in cut else plain[k]["contribution"])
+
+
+def test_covariance_is_of_all_dimensions(spark, duck):
+    got = {(r["label"], r["i"], r["j"]): (r["cov"], r["inverse"]) for r in catalog.QUERIES["agg29_covariance_whole"](spark, DATA).collect()}
+    rows = duck.sql("SELECT label, embedding FROM embeddings").fetchall()
+    labels = {k for k, _ in rows}
+    assert len(got) == 2080 * len(labels)
+    for k in labels:
+        full = np.cov(np.array([v for g, v in rows if g == k], float), rowvar=False, bias=True) + 0.001 * np.eye(64)
+        inv = np.linalg.inv(full)
+        for i, j in ((1, 1), (1, 8), (9, 9), (3, 64), (64, 64)):
+            assert got[k, i, j] == pytest.approx((full[i - 1, j - 1], inv[i - 1, j - 1]), rel=1e-4, abs=2e-6)

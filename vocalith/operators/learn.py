@@ -60,6 +60,22 @@ def moments(df: DataFrame, by: str, vec: str) -> DataFrame:
     return parts.groupBy(by).applyInPandas(add, f"{by} {kind}, n long, mean array<double>, cov array<double>")
 
 
+def covariances(df: DataFrame, by: str, vec: str, ridge: float = 1e-3) -> DataFrame:
+    """(by, i, j, cov, inverse), i <= j from 1: the covariance of each group over all dimensions with ridge on its diagonal, and
+    its inverse (the pseudo-inverse where there is none)."""
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, m, c in zip(b[by], b["mean"], b["cov"]):
+                d = len(m)
+                full = np.asarray(c).reshape(d, d) + ridge * np.eye(d)
+                inv = np.linalg.pinv(full, hermitian=True)
+                i, j = np.triu_indices(d)
+                yield pd.DataFrame({by: k, "i": i + 1, "j": j + 1, "cov": full[i, j], "inverse": inv[i, j]})
+
+    return moments(df, by, vec).mapInPandas(entries, f"{by} {dict(df.dtypes)[by]}, i long, j long, cov double, inverse double")
+
+
 def mahalanobis(df: DataFrame, by: str, vec: str, ridge: float = 1e-3, least: int = 5) -> DataFrame:
     """df with d2: squared Mahalanobis distance to the row's group; a group of fewer than `least` rows falls back to the squared
     distance from its mean."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import evaluate, model, ranks, sampling
+from ..operators import evaluate, learn, model, ranks, sampling
 from ..operators.verdict import eligible, thresholds
 from ..session import table
 from ..sources.tables import CODE_SQL, HUNKS_SQL, SCORED_SQL, code, hunks, scored
@@ -256,6 +256,13 @@ def agg29_covariance(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("label", "i", "j").agg(F.round(cov, 6).alias("cov")).select("label", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "cov")
 
 
+@query()
+def agg29_covariance_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Regularised covariance of each group over all dimensions, and its inverse."""
+    c = learn.covariances(table(spark, d, "embeddings"), "label", "embedding")
+    return c.select("label", "i", "j", F.round("cov", 6).alias("cov"), F.round("inverse", 6).alias("inverse"))
+
+
 @query(f"WITH {BPE}, r AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY s DESC, token) AS r FROM hs) SELECT entry_id, round(avg(s), 6) AS mean, round(max(s), 6) AS best, round(avg(s) FILTER (r <= 3), 6) AS top3, round(quantile_cont(s, 0.95), 6) AS p95 FROM r GROUP BY entry_id")
 def agg30_token_level(spark: SparkSession, d: str) -> DataFrame:
     """Mean, greatest, mean of the three greatest and 95th percentile of the surprises of a fragment."""
