@@ -59,3 +59,13 @@ def test_covariance_is_of_all_dimensions(spark, duck):
         inv = np.linalg.inv(full)
         for i, j in ((1, 1), (1, 8), (9, 9), (3, 64), (64, 64)):
             assert got[k, i, j] == pytest.approx((full[i - 1, j - 1], inv[i - 1, j - 1]), rel=1e-4, abs=2e-6)
+
+
+def test_foreign_specifiers_of_even_documents_are_found(spark, tmp_path):
+    texts = ["see app.one\nand b.two", "b.two here", "then\n xb.tw net.x app.one q.r", "q.r app.only"]
+    d = str(tmp_path)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    run = lambda n: {tuple(r) for r in catalog.QUERIES[n](spark, d).collect()}
+    assert run("jn1_foreign_exact_whole") == {(2, "xb.tw"), (2, "net.x"), (3, "app.only")}
+    assert run("jn2_foreign_prefix_whole") == {(2, "xb.tw"), (3, "app.only")}
+    assert run("evd2_imports_whole") == {(2, "xb.tw, net.x", 2, 2, 6, 3, "app.one, b.two, q.r"), (3, "app.only", 1, 5, 12, 3, "app.one, b.two, q.r")}

@@ -10,7 +10,7 @@ from ..operators import sampling
 from ..session import table
 from ..sources.tables import CODE_SQL, code
 from .q_aggregates import BPE, counts, token_surprises
-from .q_joins import CLUSTERED, clustered
+from .q_joins import CLUSTERED, attested_modules, clustered
 from .q_text import specs
 from .registry import query
 
@@ -37,6 +37,27 @@ def evd2_imports(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("doc_id").agg(names.alias("foreign_specs")).crossJoin(F.broadcast(mods.agg(F.count(F.lit(1)).alias("attested"))))  # one row
 
 
+@query()
+def evd2_imports_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document the specifiers that no other attests, in order, the span of the first (1-based line; first and last column),
+    how many modules are attested, and the ten commonest of them."""
+    pattern = "\\b[a-z]+\\.[a-z][a-z_0-9]*"
+    # what stands before and between the matches gives the place of each: the gaps up to it and the matches before it
+    t = table(spark, d, "documents").select("doc_id", F.split("text", pattern, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(pattern), 0).alias("found"))
+    s = t.select("doc_id", "gaps", "found", F.posexplode(F.array_distinct("found")).alias("_", "spec")).withColumn("pos", F.array_position("found", F.col("spec")).cast("int"))
+    before = F.concat(F.array_join(F.transform(F.slice("found", 1, F.col("pos") - 1), lambda x, i: F.concat(F.get("gaps", i), x)), ""), F.get("gaps", F.col("pos") - 1))
+    column = F.length(F.substring_index("before", "\n", -1)) + 1
+    line = F.length("before") - F.length(F.replace("before", F.lit("\n"))) + 1
+    at = s.withColumn("before", before).select("doc_id", "spec", "pos", line.alias("line"), column.alias("start"), (column + F.length("spec") - 1).alias("stop"))  # numbers only are shuffled
+    mods = attested_modules(spark, d)
+    f = at.join(mods, "spec", "left_anti").select("doc_id", F.struct("pos", "spec", "line", "start", "stop").alias("x"))
+    out = f.groupBy("doc_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    out = out.select("doc_id", F.array_join("x.spec", ", ").alias("foreign_specs"), *[F.get("x", F.lit(0))[c].alias(c) for c in ("line", "start", "stop")])
+    names = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "spec"))), lambda x: x["spec"]), ", ").alias(c)
+    common = mods.orderBy(F.desc("n"), "spec").limit(10).agg(names("common"))
+    return out.crossJoin(F.broadcast(mods.agg(F.count(F.lit(1)).alias("attested")))).crossJoin(F.broadcast(common))  # one row each
+
+
 @query(f"WITH {CLUSTERED}, u AS (SELECT entry_id, corpus, string_agg(callee, ', ' ORDER BY callee) AS names FROM hc WHERE callee NOT IN (SELECT callee FROM att) GROUP BY entry_id, corpus), t AS (SELECT corpus, string_agg(callee, ', ' ORDER BY n_files DESC, callee) AS common FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY n_files DESC, callee) AS r FROM cc) WHERE r <= 3 GROUP BY corpus) SELECT u.entry_id, u.names, t.common FROM u LEFT JOIN t USING (corpus)")
 def evd3_callees(spark: SparkSession, d: str) -> DataFrame:
     """Unattested callees of each fragment, and the commonest of its cluster."""

@@ -36,6 +36,27 @@ def jn2_foreign_prefix(spark: SparkSession, d: str) -> DataFrame:
     return model.foreign(new, mods, prefixes).select("doc_id", "spec")
 
 
+_MODULES = "specs AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b[a-z]+\\.[a-z][a-z_0-9]*'))) AS spec FROM documents), mods AS (SELECT spec FROM specs GROUP BY spec HAVING count(*) > 1)"
+
+
+def attested_modules(spark: SparkSession, d: str) -> DataFrame:
+    """(spec, n): the modules that two documents or more name, so that another document attests each, and in how many they stand."""
+    return specs(spark, d).groupBy("spec").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query(f"WITH {_MODULES} SELECT doc_id, spec FROM specs WHERE spec NOT IN (SELECT spec FROM mods)")
+def jn1_foreign_exact_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The specifiers of every document that no other document attests."""
+    return specs(spark, d).join(attested_modules(spark, d), "spec", "left_anti").select("doc_id", "spec")
+
+
+@query(f"WITH {_MODULES} SELECT doc_id, spec FROM specs WHERE spec NOT IN (SELECT spec FROM mods) AND NOT starts_with(spec, 'net.') AND NOT starts_with(spec, 'core.s')")
+def jn2_foreign_prefix_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same, foreign also to a fixed list of prefixes."""
+    prefixes = spark.createDataFrame([("net.",), ("core.s",)], "prefix string")
+    return model.foreign(specs(spark, d), attested_modules(spark, d), prefixes).select("doc_id", "spec")
+
+
 def held_calls(spark: SparkSession, d: str) -> DataFrame:
     """(entry_id, corpus, callee) of the fragments under test, each callee once."""
     return code(spark, d).where("side = 'held'").select("entry_id", "corpus", F.explode(F.array_distinct(T.callees(F.col("text")))).alias("callee"))
