@@ -69,3 +69,12 @@ def test_foreign_specifiers_of_even_documents_are_found(spark, tmp_path):
     assert run("jn1_foreign_exact_whole") == {(2, "xb.tw"), (2, "net.x"), (3, "app.only")}
     assert run("jn2_foreign_prefix_whole") == {(2, "xb.tw"), (3, "app.only")}
     assert run("evd2_imports_whole") == {(2, "xb.tw, net.x", 2, 2, 6, 3, "app.one, b.two, q.r"), (3, "app.only", 1, 5, 12, 3, "app.one, b.two, q.r")}
+
+
+def test_parse_errors_after_the_fifth_line_are_seen(spark, tmp_path):
+    good = "\n".join(["def f():", *[f"    a{i} = {i}" for i in range(3)], "    return [", "        1,", "    ]"])
+    bad = "\n".join([*[f"a{i} = {i}" for i in range(5)], "x = ("])
+    d = str(tmp_path)
+    rows = [(1, "a.py", "c", good), (2, "b.py", "c", bad)]
+    spark.createDataFrame(rows, "entry_id long, file string, scope string, hunk_content string").select("*", F.lit("train").alias("set"), F.lit(1).alias("hunk_start_line"), F.lit(2).alias("hunk_end_line")).write.parquet(f"{d}/manifest_entries.parquet")
+    assert {tuple(r) for r in catalog.QUERIES["flt11_fragments"](spark, d).collect()} == {(1, False), (2, True)}
