@@ -78,3 +78,10 @@ def test_parse_errors_after_the_fifth_line_are_seen(spark, tmp_path):
     rows = [(1, "a.py", "c", good), (2, "b.py", "c", bad)]
     spark.createDataFrame(rows, "entry_id long, file string, scope string, hunk_content string").select("*", F.lit("train").alias("set"), F.lit(1).alias("hunk_start_line"), F.lit(2).alias("hunk_end_line")).write.parquet(f"{d}/manifest_entries.parquet")
     assert {tuple(r) for r in catalog.QUERIES["flt11_fragments"](spark, d).collect()} == {(1, False), (2, True)}
+
+
+def test_feature_rows_of_any_spelling_are_counted(spark, duck):
+    n = duck.sql("SELECT count(DISTINCT row_id) FROM feature_rows").fetchall()[0][0]
+    got = catalog.QUERIES["snk5_feature_json_whole"](spark, DATA).collect()
+    names = {x for (x,) in duck.sql("SELECT name FROM targets").fetchall()}
+    assert sum(r["n"] for r in got) == n and {r["corpus"] for r in got} <= names

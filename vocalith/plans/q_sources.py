@@ -161,6 +161,20 @@ def snk5_feature_json(spark: SparkSession, d: str) -> DataFrame:
     return back.join(F.broadcast(table(spark, d, "targets").select(F.col("name").alias("corpus"))), "corpus", "left_semi").groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.sum("features.n_returns").alias("returns"))
 
 
+@query("SELECT replace(lower(trim(corpus)), '_', '-') AS corpus, count(*) AS n, sum(features.n_returns)::BIGINT AS returns FROM (SELECT DISTINCT ON (row_id) * FROM feature_rows) GROUP BY 1")
+def snk5_feature_json_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All feature rows as JSON with sorted keys under the standard spelling of their corpus, and read again."""
+    path = shared_path(spark, "features")
+    f = table(spark, d, "feature_rows").dropDuplicates(["row_id"])
+    names = sorted(f.select("features.*").columns)
+    own = F.regexp_replace(F.lower(F.trim("corpus")), "_", "-").alias("corpus")
+    # the keys of a map are put in order too
+    value = lambda n: F.map_from_entries(F.array_sort(F.map_entries(f"features.{n}"))).alias(n) if n == "ast_node_type_counts" else F.col(f"features.{n}")
+    f.select(F.to_json(F.struct(own, F.struct(*[value(n) for n in names]).alias("features"), "row_id")).alias("value")).write.text(path)
+    back = spark.read.schema("corpus string, features struct<n_returns: int>, row_id long").json(path)
+    return back.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.sum("features.n_returns").alias("returns"))
+
+
 @query(SQL["src12_generic_baseline"])
 def snk3_baseline(spark: SparkSession, d: str) -> DataFrame:
     """The generic baseline as a stored table."""
