@@ -112,6 +112,47 @@ def test_many_copies_meet_once(spark):
     assert close.count() < 100
 
 
+def test_long_runs_are_compared_in_chunks():
+    """A run too long to be compared whole loses few of its near pairs."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((900, 64)) + 2.5 * rng.standard_normal(64)
+    v[1::3] = v[::3] + 0.25 * rng.standard_normal((300, 64))
+    u = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    e = np.zeros(900, neighbours.ENTRY)
+    e["cls"], e["bits"] = np.arange(900), neighbours.sketch(u @ neighbours.planes())
+    most = neighbours.bits_of(0.92)
+    want = set(zip(*(x.tolist() for x in neighbours.pairs_within(e, e[:0], most))))
+    got = set(zip(*(x.tolist() for x in neighbours.pairs_within(e, e[:0], most, run=64))))
+    assert got <= want and len(got) >= 0.97 * len(want) > 200
+
+
+def test_queries_reach_every_part_of_their_range(spark, monkeypatch):
+    """With many small parts and an ascent to the root every pair is met."""
+    monkeypatch.setattr(neighbours, "TASK", 50)
+    v = cloud(400, 3)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "row_id long, vec array<float>")
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.92, 1)))}
+    got = {(r["a"], r["b"]) for r in neighbours.row_pairs(df, "row_id", {"x": "vec"}, 0.92, trees=1, meet=float("inf")).collect()}
+    assert got == want and len(want) > 20
+
+
+@pytest.mark.parametrize("meet,least", [(5000, 0.9), (float("inf"), 1.0)])
+def test_nearest_without_structure(spark, meet, least):
+    """Independent Gaussians: the ascent has to go far, and infinite candidates are the exact way."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((6000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "row_id long, vec array<float>")
+    got = neighbours.nearest(df, "row_id", {"x": "vec"}, "row_id % 60 = 0", trees=2, meet=meet).toPandas()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 6000, 60):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(set(np.argsort(-s)[:10]) & set(got[got.id == q].neighbour))
+    assert len(got) == 1000 and hits >= least * 1000
+
+
 def test_nearest(spark):
     """Recall at ten against brute force on the project's vectors."""
     fields = {"hunk": "hunk_embedding", "context": "context_embedding"}

@@ -21,10 +21,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("field").alias("vec_field"), F.col("a").alias("row_id_a"), F.col("b").alias("row_id_b"))
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per usable vector: its class (equal vectors are one) and how many other classes have a cosine of LEAST or more."""
+    close, members = neighbours.pairs(table(spark, d, "feature_rows").select("row_id", *FIELDS.values()), "row_id", FIELDS, LEAST)
+    links = close.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
+    got = members.distinct().join(links, "cls", "left")
+    return got.select(F.col("field").alias("vec_field"), F.col("id").alias("row_id"), F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The ten rows most like each row whose id is divisible by 20, by either vector."""
     got = neighbours.nearest(table(spark, d, "feature_rows").select("row_id", *FIELDS.values()), "row_id", FIELDS, "row_id % 20 = 0")
-    return got.select(F.col("field").alias("vec_field"), F.col("id").alias("row_id"), F.col("neighbour").alias("neighbour_id"), "cosine", "place")
+    return got.select(F.col("field").alias("vec_field"), F.col("id").alias("row_id"), F.col("neighbour").alias("neighbour_id"), F.round("cosine", 3).alias("cosine"), "place")
 
 
 # ---- problem 5
