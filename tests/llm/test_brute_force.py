@@ -399,3 +399,50 @@ def test_no_labels_at_all(spark):
     assert language.segments(docs, model).count() == 1
 
 
+
+
+def leaked(size, share, rng):
+    """Whether a passage of a share of an item's words, one word in eight edited at random, is found among other words."""
+    item = [f"w{rng.randrange(3000)}" for _ in range(size)]
+    n = -(-size * 2 // 5) if share == 0.4 else round(size * share)
+    at = rng.randrange(size - n + 1)
+    edited = set(rng.sample(range(n), n // 8))
+    other = lambda: [f"w{rng.randrange(3000)}" for _ in range(100)]
+    doc = other()
+    for i, w in enumerate(item[at : at + n]):
+        doc += [w] if i not in edited else ["x"] if rng.random() < 0.5 else [w, "y"]
+    doc += other()
+    auto = leaks.Automaton([(1, item)])
+    got = leaks.passages(auto, [[auto.vocabulary.get(w, -1) for w in doc]])
+    return bool(got)
+
+
+@pytest.mark.parametrize("size,tries", [(60, 60), (126, 60), (600, 40), (4000, 12), (40000, 2)])
+def test_edited_passages_of_any_length_are_found(size, tries):
+    rng = random.Random(size)
+    for share in (0.4, 0.6, 1.0):
+        assert sum(leaked(size, share, rng) for _ in range(tries)) >= 0.9 * tries, share
+    for share in (0.2, 0.3):
+        assert not any(leaked(size, share, rng) for _ in range(tries)), share
+
+
+def test_short_items_count_only_whole():
+    auto = leaks.Automaton([(1, ["a", "b", "c"]), (2, ["x"] * 12), (3, ["q"])])
+    num = lambda t: [auto.vocabulary.get(w, -1) for w in t.split()]
+    got = leaks.passages(auto, [num("o a b c o"), num("a b o c"), num("x x x x x x"), num("x " * 40), []])
+    assert {(r, int(auto.ids[i])) for r, i, *_ in got} == {(0, 1), (2, 2), (3, 2)}
+    assert [(f, e) for r, i, _, _, f, e in got if r == 0] == [(1, 3)]
+
+
+def test_shards_and_all_copies(spark, monkeypatch):
+    """Many shards give what one gives; every copy of an item in a document is a row."""
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    items = [(i, "prose", text(50)) for i in range(12)] + [(50, "code", "def f(a_b): return a_b + other(a_b) * 3 # note the whole of it"), (60, "prose", None), (None, "prose", "a"), (61, "prose", "")]
+    docs = [(i, text(80) + " " + items[i % 12][2] + " " + text(30)) for i in range(30)] + [(99, items[3][2] + " " + text(90) + " " + items[3][2]), (98, None), (97, "")]
+    d, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, kind string, text string")
+    one = {tuple(r) for r in leaks.leaks(d, it).collect()}
+    monkeypatch.setattr(leaks, "SHARD_WORDS", 200)
+    assert {tuple(r) for r in leaks.leaks(d, it).collect()} == one
+    assert {(r[0], r[1]) for r in one} == {(i, i % 12) for i in range(30)} | {(99, 3)}
+    assert len([r for r in one if r[0] == 99]) == 2

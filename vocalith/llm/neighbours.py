@@ -327,9 +327,9 @@ def pairs_within(mine: np.ndarray, asked: np.ndarray, most: int, run: int = RUN)
 
 
 def bits_of(least: float) -> int:
-    """The most bits in which two directions of at least that cosine differ, but for one pair in some thousands."""
+    """The most bits in which two directions of at least that cosine differ, but for about one pair in a thousand of just that cosine."""
     p = 1 - math.acos(least) / math.pi
-    return math.floor(BITS * (1 - p) + 3.5 * math.sqrt(BITS * p * (1 - p)))
+    return math.floor(BITS * (1 - p) + 3.1 * math.sqrt(BITS * p * (1 - p)))
 
 
 def candidates(rows: DataFrame, row_id: str, fields: dict[str, str], least: float, trees: int = TREES, meet: float = MEET) -> DataFrame:
