@@ -1,4 +1,4 @@
-"""Session helpers shared by all operators: tables, checkpoints and checked broadcasts."""
+"""Session helpers shared by all operators: tables, checkpoints and the shared folder."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -53,6 +52,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/vocalith-{name}-{uuid.uuid4().hex}"
 
 
-def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """df with a broadcast hint if its counted rows stay within limit, else as it is, for a shuffled join."""
-    return F.broadcast(df) if rows <= limit else df
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that is no longer read."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
