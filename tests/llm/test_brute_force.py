@@ -59,6 +59,23 @@ def test_extend_keeps_fills_and_quarantines(spark):
     assert {r["node"]: (r["split"], r["quarantined"]) for r in third.collect()} == {k: (r["split"], r["quarantined"]) for k, r in now.items()}
 
 
+def test_delta_batches_reach_the_shares_together(spark, tmp_path):
+    """Two batches of other records each: the splits of their union come within one in a hundred of the shares."""
+    shares = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split_name string, share double")
+    batch = lambda lo, hi: spark.createDataFrame([(f"n{i:05}", 1 + i % 3) for i in range(lo, hi)], "node string, n long")
+    links = spark.createDataFrame([(f"n{i:05}", f"n{i + 1:05}") for i in range(0, 2000, 10)] + [("n00500", "n03000")], "a string, b string")
+    splits.write(splits.extend(None, batch(0, 2500), links.where("a <> 'n00500' or b <> 'n03000'"), shares), str(tmp_path / "t"))
+    one = splits.read(spark, str(tmp_path / "t"))
+    two = splits.extend(one, batch(2400, 6000), links, shares).collect()  # a hundred nodes get further records
+    want = {f"n{i:05}": (1 + i % 3) * (2 if 2400 <= i < 2500 else 1) for i in range(6000)}
+    assert {r["node"]: r["n"] for r in two} == want
+    was = {r["node"]: r["split"] for r in one.collect()}
+    assert all(r["split"] == was[r["node"]] for r in two if r["node"] in was)
+    total = sum(want.values())
+    for k, v in (("train", 0.8), ("validation", 0.1), ("test", 0.1)):
+        assert abs(sum(r["n"] for r in two if r["split"] == k) / total - v) < 0.01, k
+
+
 # ---- 2
 
 
@@ -446,3 +463,35 @@ def test_shards_and_all_copies(spark, monkeypatch):
     assert {tuple(r) for r in leaks.leaks(d, it).collect()} == one
     assert {(r[0], r[1]) for r in one} == {(i, i % 12) for i in range(30)} | {(99, 3)}
     assert len([r for r in one if r[0] == 99]) == 2
+
+
+# ---- 9
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "return values are now cached by the scheduler when they are large", "let us keep the old layout for this release", "class sizes were reduced after the change",
+        "import duties rose again in the second quarter", "raise the limit of the pool before the next run", "the old layout was kept for all readers;",
+        "for the following reasons:", "old names => new names of all the hooks here",
+    ],
+)
+def test_sentences_that_begin_like_code_are_read(line):
+    assert len(language.units(line)) == 1
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "return self.x if y is None else z", "raise ValueError('no value given here')", "import os", "let x;", "for item in items:", "if (a) {", "const [a, b] = useState(0);",
+        "break;", "return value", "x = the(a)", "export default Widget;", "class Foo(Bar):", "return;", "} else {", "return a + b", "throw new Error('bad thing happened here');",
+    ],
+)
+def test_code_is_not_read(line):
+    assert language.units(line) == []
+
+
+def test_long_words_are_read_whole():
+    long = "ab" * 50
+    w = language.Words(np.ones(language.DIM), np.zeros((language.DIM, 2)))
+    assert w.rows[w.row(long), -1] == len(language.grams(long))

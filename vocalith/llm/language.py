@@ -1,11 +1,11 @@
 """Languages of documents and of their stretches: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Prose is read line by line: marks before a line are skipped, fenced and plain code lines are left out, and so are names
-with digits, underscores, dots, inner capitals, call brackets or back ticks. What is left is words; a unit is the part of a
-sentence on a line. A unit's features are its words' hashed character n-grams, weighted by their inverse frequency over the
+Prose is read line by line: marks before a line are skipped, fenced lines and lines that are code by their shape (brackets, operators,
+calls, or a word of code before what is no sentence) are left out, and so are names with digits,
+underscores, dots, inner capitals, call brackets or back ticks. What is left is words; a unit is the part of a sentence on a line. A unit's features are its words' hashed character n-grams, weighted by their inverse frequency over the
 words of all documents and normalised to a sum of one, so that a unit's score is the weighted mean of its words' scores.
 
-The model is trained on a bounded sample of labelled documents (at most about TRAIN_DOCS a language, UNITS_OF_DOC units of each)
+The model is trained on a bounded sample of labelled documents (at most about TRAIN_DOCS a language, UNITS_OF_DOC units of each, WORDS_OF_UNIT words of a unit)
 with follow-the-regularised-leader and elastic-net penalties; units that the first model contradicts are left out of the second.
 A temperature is fitted on the hand-labelled documents, which training never sees. Units get languages by the best path
 with a price for each change, so that a few quoted words change nothing.
@@ -30,10 +30,10 @@ LANGS = ("de", "en", "es", "fr", "it", "nl", "pt")
 DIM = 1 << 16
 TRAIN_DOCS = 400
 UNITS_OF_DOC = 12
+WORDS_OF_UNIT = 60  # of the training sample only
 EPOCHS = 4
 SCALE = 60.0  # of the features, whose sum is one
 CHANGE = 20.0  # price of a change of language along the units, in nats of a word
-WORDS = 15  # words of a unit that count in full
 
 # Names of the languages in labels (fixed values): two letters, three letters, English and own name
 NAMES = {
@@ -48,12 +48,19 @@ NAMES = {
 
 _MARKS = re.compile(r"[\s>+*#|•\-]*(?:\d+[.)]\s+)?")
 _FENCE = re.compile(r"\s*[>+*\-\s]*(```|~~~)")
-# the beginning of a code line, and lines that are code by their end
+# lines that are code by their shape
 _CODE = re.compile(
-    r"(?:def |class |export |import |function |const |let |var |async |await |return\b|assert |raise |throw |yield |try\s*[:{]|except\b.*:|catch\b|finally\s*[:{]|elif |else\s*[:{]"
-    r"|from \S+ import |self\.|this\.|log\.\w+\(|console\.|[})\]]|//|/\*|@\w+\s*$|[\w.\[\]]+\s*[-+*/]?=\s*\S|[\w.]+\([^\n]*\)[;,]?\s*$)"
+    r"(?:def \w+\s*\(|class \w+\s*(?:[(:{]|$|extends \w+\s*\{)|(?:export |default |async )*function\b[\s*]*\w*\s*[(<]|export (?:default |async )?(?:const|let|class|type|interface|enum|\{|\*)"
+    r"|(?:const|let|var) [\w{\[][^=]*=|from \S+ import |import (?:[\w.]+(?: as \w+)?;?\s*$|[\w{*,}\s]+ from |[{*\"'])"
+    r"|self\.\w|this\.\w|log\.\w+\(|console\.|[})\]]|//|/\*|@\w+\s*$|[\w.\[\]]+\s*[-+*/]?=\s*\S|[\w.]+\([^\n]*\)[;,]?\s*$)"
 )
+# lines that are code unless they read as a sentence
+_MAYBE = re.compile(r"(?:def |class |export |import |function |const |let |var |async |await |return\b|assert |raise |throw |yield |try\s*[:{]|except\b.*:|catch\b|finally\s*[:{]|elif |else\s*[:{])")
+_PLAIN = re.compile(r"[(\"'«„“]?[^\W\d_]{2,}(?:['’\-][^\W\d_]+)*[.,;:!?\"')»”…]*")
+_QUOTED = re.compile(r"(?<!\w)([\"'`]).*?\1(?!\w)")
 _BLOCK = ("if ", "for ", "while ", "with ", "switch ", "if(", "for(", "while(", "switch(")
+# words of code that say nothing about a sentence (fixed values)
+_KEYWORDS = frozenset("and as assert async await break case catch class const continue def default del elif else enum except export extends false finally for from function if import in instanceof is lambda let new none not null of or pass raise return self static super switch this throw true try typeof undefined var void while with yield".split())
 _WORD = re.compile(r"[(\"'\[*_«“„]*([^\W\d_]+(?:['’\-][^\W\d_]+)*)[.,;:!?\"'*_)\]»”…]*")
 _END = re.compile(r"[.!?]+[\"'*_)\]]*\s+")
 
@@ -65,6 +72,23 @@ def code_of(label: Column) -> Column:
     return F.try_element_at(known, name)
 
 
+def sentence(body: str) -> bool:
+    """Whether a line reads as a sentence: at least three of its parts, and three in five, quotations apart, are plain words that are no
+    words of code."""
+    parts = _QUOTED.sub("", body).split()
+    plain = sum(1 for p in parts if _PLAIN.fullmatch(p) and (p.islower() or p.istitle() or p[:-1].islower()) and p.strip(".,;:!?\"'()").lower() not in _KEYWORDS)
+    return plain >= 3 and plain >= 0.6 * len(parts)
+
+
+def code_line(body: str) -> bool:
+    """Whether a line, without marks before it and spaces behind it, is code."""
+    if _CODE.match(body):
+        return True
+    if body[-1] in ";{" or "=>" in body or (body[-1] == ":" and body.startswith(_BLOCK)) or _MAYBE.match(body):
+        return not sentence(body)
+    return False
+
+
 def word_of(part: str) -> str | None:
     """The prose word, in small letters, of what stands between two white spaces; null for names, numbers and code."""
     m = _WORD.fullmatch(part)
@@ -97,7 +121,7 @@ class Reader:
                 continue
             k = _MARKS.match(line).end()
             body = line[k:].rstrip()
-            if not body or body[-1] in ";{" or "=>" in body or (body[-1] == ":" and body.startswith(_BLOCK)) or _CODE.match(body):
+            if not body or code_line(body):
                 continue
             base, pos = start + k, 0
             ends = [x.end() for x in _END.finditer(body)] if "." in body or "!" in body or "?" in body else []
@@ -143,7 +167,7 @@ class Words:
             k = self.at[word] = len(self.at)  # emptied between batches
             if k >= len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            g = grams(word[:64]) if len(word) <= 64 else grams(word[:32] + word[-32:])
+            g = grams(word)
             v = self.idf[g]
             self.rows[k, :-1] = v @ self.weights[g]
             self.rows[k, -1] = v.sum()
@@ -160,7 +184,7 @@ def frequencies(documents: DataFrame) -> tuple[np.ndarray, int]:
 
         def add() -> None:
             for w, n in seen.items():
-                total[np.unique(grams(w[:64]))] += n
+                total[np.unique(grams(w))] += n
                 total[DIM] += n
             seen.clear()
 
@@ -196,7 +220,7 @@ def sample(labelled: DataFrame, most: int, of_doc: int = UNITS_OF_DOC) -> list[t
             for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 us = [w for _, _, w in units(t) if len(w) >= 4]
                 for w in us[:: max(1, -(-len(us) // of_doc))]:
-                    out[0].append(lang), out[1].append(" ".join(w[:60]))
+                    out[0].append(lang), out[1].append(" ".join(w[:WORDS_OF_UNIT]))
             yield pa.record_batch([pa.array(out[0], pa.string()), pa.array(out[1], pa.string())], ["lang", "words"])
 
     rows = picked.mapInArrow(cut_up, "lang string, words string").collect()
@@ -295,7 +319,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Mode
 
 def path(score: np.ndarray, n: np.ndarray, change: float = CHANGE) -> np.ndarray:
     """The language of each unit on the best path: score holds log probabilities of a mean word, n the words of a unit."""
-    gain = score * np.minimum(n, WORDS)[:, None]
+    gain = score * n[:, None]
     best = gain.argmax(1)
     if (best == best[0]).all():
         return best

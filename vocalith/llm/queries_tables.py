@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, table
+from ..session import cut, remove, shared_path, table
 from .common import corpus_key, fixture_key, number, once
 from . import cutoffs, ranking, splits
 
@@ -28,18 +28,21 @@ def _renames(spark: SparkSession, d: str) -> DataFrame:
     return r.where("c is not null and x is not null and y is not null").select(F.concat_ws("/", "c", "x").alias("a"), F.concat_ws("/", "c", "y").alias("b"), "renamed_at")
 
 
+def _count(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     rows = _fixture_rows(spark, d, False)
-    roots = splits.components(_renames(spark, d).select("a", "b"))
-    mine = rows.join(roots, "node", "left").select("row_id", F.coalesce("root", "node").alias("component"))
+    comps = splits.extend(None, _count(rows), _renames(spark, d), table(spark, d, "splits"))
+    mine = rows.join(comps.select("node", "component"), "node").select("row_id", "component")
     first = mine.groupBy("component").agg(F.min("row_id").alias("first_row_id"))
     return mine.join(first, "component").where("row_id > first_row_id").select("first_row_id", "row_id")
 
 
 def _placed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = _fixture_rows(spark, d, True)
-    comps = splits.extend(None, rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")), _renames(spark, d), table(spark, d, "splits"))
-    return rows, comps
+    return rows, splits.extend(None, _count(rows), _renames(spark, d), table(spark, d, "splits"))
 
 
 def p1_splits(spark: SparkSession, d: str) -> DataFrame:
@@ -58,21 +61,24 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_increment(spark: SparkSession, d: str) -> DataFrame:
-    """Two batches, renames known by the first row's date and later ones: what the second batch kept, added and quarantined."""
+    """Two batches, the rows and renames of before a date and those after it, with the table written between them: what the second
+    batch kept, added and quarantined, with the records of both. The date is where four fifths of the rows have come in."""
     rows = _fixture_rows(spark, d, True)
-    stamps = table(spark, d, "feature_rows").where("row_id is not null").groupBy("row_id").agg(F.min("ingested_at").alias("at"))
-    seconds = F.col("at").cast("timestamp").cast("double")
-    mid = stamps.agg(F.percentile_approx(seconds, 0.8).alias("m")).first()["m"]
-    late = seconds > F.lit(float(mid) if mid is not None else 0.0)
-    rows = rows.join(stamps, "row_id").select("row_id", "node", F.coalesce(late, F.lit(True)).alias("late"))
-    count = lambda x: x.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    links, shares = _renames(spark, d), table(spark, d, "splits")
-    half = F.pmod(F.xxhash64("a", "b"), F.lit(2)) == 0  # of the renames, half are known only with the second batch
-    one = cut(splits.extend(None, count(rows.where("not late")), links.where(half), shares))
-    two = cut(splits.extend(one, count(rows), links, shares))
+    seconds = lambda c: F.col(c).cast("timestamp").cast("double")
+    stamps = table(spark, d, "feature_rows").where("row_id is not null").groupBy("row_id").agg(F.min(seconds("ingested_at")).alias("at"))
+    mid = stamps.agg(F.percentile_approx("at", 0.8).alias("m")).first()["m"]
+    mid = F.lit(float(mid) if mid is not None else 0.0)
+    rows = rows.join(stamps, "row_id").select("row_id", "node", F.coalesce(F.col("at") > mid, F.lit(True)).alias("late"))
+    links, shares = _renames(spark, d).withColumn("late", F.coalesce(seconds("renamed_at") > mid, F.lit(False))), table(spark, d, "splits")
+    path = shared_path(spark, "components")
+    splits.write(splits.extend(None, _count(rows.where("not late")), links.where("not late"), shares), path)
+    one = splits.read(spark, path)
+    two = splits.extend(one, _count(rows.where("late")), links, shares)
     was = one.select("node", F.col("split").alias("was"))
     state = F.when(F.col("quarantined"), "quarantined").when(F.col("was").isNull(), "new").when(F.col("was") == F.col("split"), "kept").otherwise("moved")
-    return two.join(was, "node", "left").groupBy(state.alias("state"), "split").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("n").alias("n_rows"))
+    out = cut(two.join(was, "node", "left").groupBy(state.alias("state"), "split").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("n").alias("n_rows")))
+    remove(spark, path)
+    return out
 
 
 # ---- problem 2

@@ -1,10 +1,10 @@
 """Splits that keep related records together.
 
 Records are joined into components by shared entities and by links between entities. The components live in a
-persisted table that each batch extends: links are contracted to components, merged by hooking each component to
+persisted table (`write`, `read`) that each batch extends, with the number of records that each node has had so far: links are contracted to components, merged by hooking each component to
 the least one it is linked with, and pointers are doubled until every component points at its root, so that a chain of
 n links takes about log n rounds. Existing components keep their split, a merge of components with different splits
-is quarantined, and new components fill what the splits lack.
+is quarantined, and new components fill what the splits lack of the records of all batches together.
 
 Defined results: records without entity are components of their own; repeated records and links count once; links
 from or to null, and from an entity to itself, say nothing; empty tables give empty results.
@@ -12,13 +12,13 @@ from or to null, and from an entity to itself, say nothing; empty tables give em
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import cut
 
-COMPONENT_SCHEMA = "node string, component string, split string, quarantined boolean"
+COMPONENT_SCHEMA = "node string, component string, split string, quarantined boolean, n long"
 BUCKETS = 4096  # of the running sum over new components; what the driver sees is bounded by it
 
 
@@ -54,20 +54,20 @@ def components(links: DataFrame) -> DataFrame:
 def extend(known: DataFrame | None, records: DataFrame, links: DataFrame, shares: DataFrame) -> DataFrame:
     """The component table after a batch.
 
-    known: the persisted table so far (node, component, split, quarantined) or None. records(node, n): entities of the
-    batch with the records they carry. links(a, b). shares(split_name, share).
-    Gives (node, component, split, quarantined, n, is_new): n counts the batch's records, is_new marks components that had
-    no split before. A quarantined component keeps its nodes together, has no split, and stays quarantined.
+    known: the persisted table so far (node, component, split, quarantined, n) or None. records(node, n): entities of the
+    batch with the records it brings, those of earlier batches left out. links(a, b). shares(split_name, share).
+    Gives (node, component, split, quarantined, n, is_new): n counts the records of all batches, is_new marks components that
+    no earlier batch held. A quarantined component keeps its nodes together, has no split, and stays quarantined.
     """
     spark = records.sparkSession
     known = known if known is not None else spark.createDataFrame([], COMPONENT_SCHEMA)
-    known = known.select("node", "component", "split", "quarantined")
+    known = known.select("node", "component", "split", "quarantined", F.col("n").alias("held"))
     links = links.select("a", "b").where("a is not null and b is not null and a <> b")
     here = records.where("node is not null").groupBy("node").agg(F.sum("n").alias("n"))
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
     nodes = here.join(ends, "node", "full").join(known, "node", "full")
     # every node with its present component; a node not seen before is its own
-    nodes = cut(nodes.select("node", F.coalesce("component", "node").alias("old"), "split", F.coalesce("quarantined", F.lit(False)).alias("quarantined"), F.coalesce("n", F.lit(0)).alias("n"), F.col("component").isNull().alias("unseen")))
+    nodes = cut(nodes.select("node", F.coalesce("component", "node").alias("old"), "split", F.coalesce("quarantined", F.lit(False)).alias("quarantined"), (F.coalesce("n", F.lit(0)) + F.coalesce("held", F.lit(0))).alias("n"), F.col("component").isNull().alias("unseen")))
     of = nodes.select("node", "old")
     contracted = links.join(of.select(F.col("node").alias("a"), F.col("old").alias("oa")), "a").join(of.select(F.col("node").alias("b"), F.col("old").alias("ob")), "b").select(F.col("oa").alias("a"), F.col("ob").alias("b"))
     roots = components(contracted)
@@ -81,8 +81,17 @@ def extend(known: DataFrame | None, records: DataFrame, links: DataFrame, shares
     return out.select("node", "component", "split", "quarantined", "n", F.col("fresh").alias("is_new"))
 
 
+def write(table: DataFrame, path: str) -> None:
+    """Persists a component table at a path, for the next batch."""
+    table.select("node", "component", "split", "quarantined", "n").write.parquet(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(COMPONENT_SCHEMA).parquet(path)
+
+
 def _fill(state: DataFrame, nodes: DataFrame, shares: DataFrame) -> DataFrame:
-    """Splits for the components without one, so that the batch's records come close to the shares.
+    """Splits for the components without one, so that the records of all batches come close to the shares.
 
     Components of at least a 1/BUCKETS of the records are placed one by one where most is lacking (there are at most
     BUCKETS of them). The rest are put in order of a hash; the running sum of their records, taken in two levels,
