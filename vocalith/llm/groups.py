@@ -32,7 +32,7 @@ GROUPS_AT_ONCE = 12
 SAMPLE = 1500
 FLOOR = 0.02  # least variance, as a share of the mean variance of the source's components
 SHRINK = 0.1  # of each variance towards the group's mean variance
-PASSES = 8
+PASSES = 60  # a guard: passes end where the likelihood settles
 CLOSE = 1e-4  # relative change of the likelihood at which passes end
 
 

@@ -29,19 +29,19 @@ CAPACITY = 2048
 WINDOWS = 128  # containers of a block, about
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # the published pattern of this vocabulary (fixed value)
-PIECE = 200_000  # characters encoded at once; longer texts are cut where no token can cross
+PIECE = 200_000  # characters encoded at once, about; longer texts are cut where no token can cross
 _SEAM = re.compile(r"(?<=\S)(?=\s)")
 
 
 def pieces(text: str, size: int = PIECE) -> Iterator[str]:
-    """text in pieces of about size characters, cut before white space, where no token crosses; a run of 2 * size characters
-    without white space is cut hard."""
+    """text in pieces of size characters and more, cut before white space, where no token crosses; what has none is one piece."""
     at = 0
     while len(text) - at > size:
-        m = _SEAM.search(text, at + size, min(len(text), at + 2 * size))
-        end = m.start() if m else at + size
-        yield text[at:end]
-        at = end
+        m = _SEAM.search(text, at + size)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
     yield text[at:]
 
 
@@ -139,4 +139,5 @@ def pack(sized: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return pdf.drop(columns="block")
 
     schema = "doc_id long, part_no long, n_parts long, first_token long, n_tokens long, container string"
-    return loose.withColumn("block", block).groupBy("block").applyInPandas(fill, schema).unionByName(whole)
+    # blocks are work, not bytes: they get a task each, which adaptive execution would merge
+    return loose.withColumn("block", block).repartition(n_blocks, "block").groupBy("block").applyInPandas(fill, schema).unionByName(whole)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BLOCK = 20000  # aimed distinct values of a block
+BLOCK = 20000  # rows of a block, about
 
 # Coefficients of Acklam's rational approximation of the inverse normal distribution (fixed values)
 A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
@@ -40,17 +40,19 @@ def inverse_normal(p: Column) -> Column:
     return F.when(p < 0.02425, tail(low)).when(p > 1 - 0.02425, -tail(high)).otherwise(poly(A, r) * q / (poly(B, r) * r + 1))
 
 
-def places(long: DataFrame, block: int = BLOCK) -> DataFrame:
-    """long(grp, item, k, v): one value of score k per item -> (grp, k, v, n, place): the mean place of each value, from 1."""
+def places(long: DataFrame, rows: int, block: int = BLOCK) -> DataFrame:
+    """long(grp, item, k, v): one value of score k per item, rows items or fewer -> (grp, k, v, n, place): the mean place of each value,
+    from 1."""
     counts = long.groupBy("grp", "k", "v").agg(F.count(F.lit(1)).alias("c"))
     whole = long.groupBy("grp", "k").agg(F.count(F.lit(1)).alias("n"))
     big = whole.where(F.col("n") > block).select("grp", "k")
-    # the bounds of blocks: approximate quantiles, at most one per 2 * block rows; groups of up to block rows have one block
+    # the bounds of blocks: approximate quantiles, as many as a group of all rows would need; groups of up to block rows have one block
     most = 10000
+    n_blocks = max(2, min(most // 2, -(-rows // block)))
     bounds = (
         long.join(big, ["grp", "k"])
         .groupBy("grp", "k")
-        .agg(F.percentile_approx("v", [i / 128 for i in range(1, 128)], most).alias("bounds"))
+        .agg(F.percentile_approx("v", [i / n_blocks for i in range(1, n_blocks)], most).alias("bounds"))
     )
     spread = counts.join(whole, ["grp", "k"]).join(bounds, ["grp", "k"], "left")
     spread = spread.withColumn("blk", F.coalesce(F.size(F.filter("bounds", lambda b: b < F.col("v"))), F.lit(0))).drop("bounds")
@@ -69,7 +71,7 @@ def combine(items: DataFrame, group: str, item: str, weights: dict[str, float],
     base = base.where("grp is not null and item is not null").where(ok).dropDuplicates(["item"])
     long = base.select("grp", "item", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), (F.col(f"s{i}") + 0.0).alias("v")) for i in range(len(names))])).alias("x")).select("grp", "item", "x.k", "x.v")
     p = (F.col("place") - 0.5) / F.col("n")
-    at = places(long, block).select("grp", "k", "v", "n", p.alias("p"), inverse_normal(p).alias("z"))
+    at = places(long, items.count(), block).select("grp", "k", "v", "n", p.alias("p"), inverse_normal(p).alias("z"))
     weight = F.element_at(F.array(*[F.lit(float(weights[k])) for k in names]), F.col("k") + 1)
     scale = float(sum(weights.values())) or 1.0
     mean = lambda c: F.sum(F.round(F.col(c), 12) * weight) / scale
