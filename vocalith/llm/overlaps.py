@@ -3,7 +3,7 @@
 Contents are reduced to code tokens (no layout, comments or quotes); equal token rows form a class, and only classes are
 joined. An evaluation class of n tokens may differ from a partner in k of them, so of k + 1 disjoint segments one at least is
 untouched: the segments are looked up among the training windows of the same width, at positions and lengths the
-distance allows, and every pair found so is verified by a banded dynamic program.
+distance allows, and every pair found so, unless its bags of tokens differ too much, is verified by a banded dynamic program.
 
 Segments are shifted, within the slack that their number leaves, off windows made of everyday tokens only, so that no
 segment value is met by a large part of all rows. A Bloom filter of the segments, of bounded size, keeps the other
@@ -114,6 +114,20 @@ def within(a: list[np.ndarray], b: list[np.ndarray], k: np.ndarray) -> np.ndarra
     return (final <= k) & (dist == 0)
 
 
+BUCKETS = 256
+
+
+def near_bags(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Pairs of rows (flat values, offsets) whose bags of tokens may be within k edits: an edit changes two counts by one at most."""
+    n = len(k)
+
+    def counts(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
+        slot = np.repeat(np.arange(n), np.diff(off)) * BUCKETS + (flat[off[0] : off[-1]] & (BUCKETS - 1))
+        return np.bincount(slot, minlength=n * BUCKETS).reshape(n, BUCKETS)
+
+    return np.abs(counts(a, at) - counts(b, bt)).sum(1) <= 2 * k
+
+
 def _each(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """Values and offsets of a list column."""
     col = batch.column(name)
@@ -197,10 +211,11 @@ def near(evaluation: DataFrame, training: DataFrame, everyday: list[int]) -> Dat
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
                 (e, ea), (t, ta) = _each(b, "e"), _each(b, "t")
-                x = [e[ea[i] : ea[i + 1]] for i in range(b.num_rows)]
-                y = [t[ta[i] : ta[i + 1]] for i in range(b.num_rows)]
-                limit = np.array([max(len(p), len(q)) // 8 for p, q in zip(x, y)])
-                ok = pa.array(within(x, y, limit))
+                limit = np.maximum(np.diff(ea), np.diff(ta)) // 8
+                like = np.nonzero(near_bags(e, ea, t, ta, limit))[0]
+                ok = np.zeros(b.num_rows, bool)
+                ok[like] = within([e[ea[i] : ea[i + 1]] for i in like], [t[ta[i] : ta[i + 1]] for i in like], limit[like])
+                ok = pa.array(ok)
                 yield pa.record_batch([b.column("ecls").filter(ok), b.column("tcls").filter(ok)], ["ecls", "tcls"])
 
     return both.mapInArrow(verify, "ecls string, tcls string")
