@@ -93,6 +93,8 @@ def python_callees(text: str) -> list[str | None]:
 
 
 _TS_CALL = re.compile(r"((?:\.\s*)?[A-Za-z_$][\w$]*(?:\s*\.\s*[A-Za-z_$][\w$]*)*)\s*\(")
+# words of the grammar that are no leaves of their own (fixed values)
+_TS_GRAMMAR = frozenset("abstract as async await break case catch class const continue debugger declare default delete do else enum export extends finally for from function get if implements import in instanceof interface keyof let namespace new of private protected public readonly return satisfies set static switch throw try type typeof var void while with yield".split())
 _TS_KEYWORDS = {"if", "for", "while", "switch", "catch", "function", "return", "constructor", "super", "typeof", "await"}
 
 
@@ -101,6 +103,19 @@ def _blank(text: str) -> str:
     return _TS_TOKEN.sub(lambda m: re.sub(r"[^\n]", " ", m.group()) if m.group()[0] in "\"'`" or m.group()[:2] in ("//", "/*") else m.group(), text)
 
 
+_BODY = re.compile(r"\s*(?::\s*[\w<>\[\]|., ]+)?\{")
+
+
+def _declares(plain: str, i: int) -> bool:
+    """Whether the brackets that open at i are those of a method that is declared: a body follows them."""
+    depth = 0
+    for k in range(i, len(plain)):
+        depth += (plain[k] == "(") - (plain[k] == ")")
+        if not depth:
+            return _BODY.match(plain, k + 1) is not None
+    return False
+
+
 def typescript_callees(text: str) -> list[str | None]:
     out: list[str | None] = []
     plain = _blank(text)
@@ -109,7 +124,7 @@ def typescript_callees(text: str) -> list[str | None]:
         before = plain[: m.start(1)].rstrip()
         if name.startswith("."):
             out.append("<call>" + name if before.endswith(")") else None)
-        elif name in _TS_KEYWORDS or re.search(r"\bfunction$", before):
+        elif name in _TS_KEYWORDS or re.search(r"\bfunction$", before) or _declares(plain, m.end() - 1):
             continue
         else:
             out.append(name)
@@ -168,6 +183,29 @@ def prose_lines(text: str, lang: str) -> list[int]:
     return sorted(rows)
 
 
+def blank_prose(text: str, lang: str) -> str:
+    """A text with its lines of prose emptied, the number of lines kept."""
+    rows = set(prose_lines(text, lang))
+    return "\n".join("" if i in rows else x for i, x in enumerate(text.split("\n"), 1)) if rows else text
+
+
+def import_block(text: str) -> str:
+    """The lines of a Python text's imports on module level; where it does not parse, the lines that begin like one."""
+    rows = text.splitlines()
+    t = tree(text)
+    if t is None:
+        return "\n".join(x for x in rows if re.match(r"(?:import |from )\S", x))
+    return "\n".join(x for n in t.body if isinstance(n, (ast.Import, ast.ImportFrom)) for x in rows[n.lineno - 1 : n.end_lineno])
+
+
+_IMPORT_LINE = re.compile(r"^\s*(?:import|from)\s+([A-Za-z_]\w*)", re.M)
+
+
+def import_names_by_line(text: str) -> list[str]:
+    """Top-level names of imports by the look of lines, whether or not the text parses; also those in prose."""
+    return sorted(set(_IMPORT_LINE.findall(text)))
+
+
 def data_ratio(text: str, lang: str) -> float:
     """Share of non-blank lines covered by assignments of containers at least 80 % of whose values are literals."""
     full = sum(1 for x in text.split("\n") if x.strip())
@@ -219,7 +257,7 @@ def leaves(text: str, lang: str) -> list[tuple[str, bool]]:
             continue
         if s[0] in "\"'`" or s[0].isdigit() or s in ("true", "false", "null", "undefined"):
             out.append((s, True))
-        elif (s[0].isalpha() or s[0] in "_$") and s not in _TS_KEYWORDS:
+        elif (s[0].isalpha() or s[0] in "_$") and s not in _TS_GRAMMAR:
             out.append((s, False))
     return out
 
@@ -299,30 +337,36 @@ def handler_counts(text: str, lang: str) -> tuple[int, int]:
     return (ret, thr)
 
 
+def handler_ratio(text: str, lang: str) -> float | None:
+    """Returns among the returns and raises inside handlers; null without either."""
+    r, t = handler_counts(text, lang)
+    return r / (r + t) if r + t else None
+
+
 def guards(text: str, lang: str) -> float | None:
-    """Mean number of ifs before the first return of a function; null without functions."""
+    """Mean number of ifs before the first return of a function, 0 for one without a return; null without functions."""
     if lang == "python":
         t = tree(text)
         fs = [n for n in ast.walk(t) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))] if t else []
         counts = []
         for f in fs:
             nodes = sorted((n for n in ast.walk(f) if isinstance(n, (ast.If, ast.Return))), key=lambda n: (n.lineno, n.col_offset))
-            first = next((i for i, n in enumerate(nodes) if isinstance(n, ast.Return)), len(nodes))
+            first = next((i for i, n in enumerate(nodes) if isinstance(n, ast.Return)), 0)
             counts.append(sum(isinstance(n, ast.If) for n in nodes[:first]))
     else:
         parts = re.split(r"\bfunction\b", _blank(text))[1:]
-        counts = [len(re.findall(r"\bif\b", re.split(r"\breturn\b", p)[0])) for p in parts]
+        counts = [len(re.findall(r"\bif\b", re.split(r"\breturn\b", p)[0])) if re.search(r"\breturn\b", p) else 0 for p in parts]
     return sum(counts) / len(counts) if counts else None
 
 
 def module_scope_share(text: str, lang: str) -> float | None:
-    """Share of calls outside functions and classes; null without calls."""
+    """Share of calls outside functions, a class body being outside; null without calls."""
     if lang == "python":
         t = tree(text)
         if t is None:
             return None
         total = sum(isinstance(n, ast.Call) for n in ast.walk(t))
-        inner = {id(c) for n in ast.walk(t) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) for c in ast.walk(n) if isinstance(c, ast.Call)}
+        inner = {id(c) for n in ast.walk(t) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) for c in ast.walk(n) if isinstance(c, ast.Call)}
         return (total - len(inner)) / total if total else None
     found = typescript_callees(text)
     return 1.0 if found else None  # function bodies are not told apart in this grammar

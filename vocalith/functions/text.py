@@ -128,3 +128,38 @@ def frequency(count: Column) -> Column:
 
 def rarity(flagged: Column, total: Column, where: str, label: str, floor: int = 30) -> Column:
     return F.when(total < floor, F.lit(f"never seen in {where}")).otherwise(F.concat(flagged.cast("string"), F.lit(" of "), F.format_number(total, 0), F.lit(f" {label}")))
+
+
+# ---- fragments and what stands about them
+
+
+def context(text_lines: Column, start: Column, end: Column, n: int = 50) -> Column:
+    """A struct (before, hunk, after) of lines: the fragment, bounds 0-indexed and half-open, and up to n lines on either side; null
+    where the bounds lie outside the text."""
+    above = F.greatest(start - n, F.lit(0))
+    good = (start >= 0) & (start <= end) & (end <= F.size(text_lines))
+    part = lambda a, b: F.slice(text_lines, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    return F.when(good, F.struct(part(above, start).alias("before"), part(start, end).alias("hunk"), part(end, F.least(end + n, F.size(text_lines))).alias("after")))
+
+
+# ---- fixtures set into other files
+
+BREAK_MARK = r"^\s*(//|#)\s*Break\s*:"  # a line that names the fixture (fixed value)
+
+
+def strip_marks(text_lines: Column, start: Column, end: Column) -> Column:
+    """A struct (ls, first, last): the lines without those that name the fixture, and the bounds, 1-indexed and inclusive, of the lines
+    of the fragment that are left. Bounds outside the text, or a fragment of such lines alone, leave all as it is."""
+    kept = F.filter(text_lines, lambda x: ~x.rlike(BREAK_MARK))
+    before = F.size(F.filter(F.slice(text_lines, F.lit(1), F.greatest(start - 1, F.lit(0))), lambda x: ~x.rlike(BREAK_MARK)))
+    inside = F.size(F.filter(F.slice(text_lines, F.greatest(start, F.lit(1)), F.greatest(end - start + 1, F.lit(0))), lambda x: ~x.rlike(BREAK_MARK)))
+    good = (start >= 1) & (end <= F.size(text_lines)) & (inside > 0)
+    return F.when(good, F.struct(kept.alias("ls"), (before + 1).alias("first"), (before + inside).alias("last"))).otherwise(F.struct(text_lines.alias("ls"), start.cast("int").alias("first"), end.cast("int").alias("last")))
+
+
+def inject(text_lines: Column, start: Column, end: Column, host_lines: Column, at: Column) -> Column:
+    """A struct (ls, first, last): the lines set into the host's before its line `at` (at its end where it is shorter) and where the
+    fragment's bounds have gone; null for bounds or places below 1 or in the wrong order."""
+    above = F.least(at - 1, F.size(host_lines)).cast("int")
+    whole = F.concat(F.slice(host_lines, F.lit(1), above), text_lines, F.slice(host_lines, above + 1, F.size(host_lines)))
+    return F.when((start >= 1) & (end >= start) & (at >= 1), F.struct(whole.alias("ls"), (above + start).cast("int").alias("first"), (above + end).cast("int").alias("last")))

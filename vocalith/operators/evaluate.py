@@ -35,7 +35,3 @@ def stability(sets: DataFrame, key: str, item: str) -> DataFrame:
     j = F.coalesce("both", F.lit(0)) / (F.col("na") + F.col("nb") - F.coalesce("both", F.lit(0)))
     n = size.agg(F.count(F.lit(1)).alias("n_sets"))
     return n.crossJoin(F.broadcast(pairs.agg(F.avg(j).alias("j")))).select("n_sets", F.round(F.when(F.col("n_sets") == 1, 1.0).otherwise(F.coalesce("j", F.lit(0.0))), 6).alias("jaccard"))
-
-
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -96,13 +96,6 @@ def mahalanobis(df: DataFrame, by: str, vec: str, ridge: float = 1e-3, least: in
     return df.join(m, df[by] == m["_by"]).drop("_by").mapInPandas(score, fields + ", d2 double")
 
 
-def logistic(df: DataFrame, vec: str, label: str, seed: int = 0) -> DataFrame:
-    """df with a probability of label 1."""
-    data = df.withColumn("_v", array_to_vector(F.transform(vec, lambda x: x.cast("double")))).withColumn("_y", F.col(label).cast("double"))
-    m = LogisticRegression(featuresCol="_v", labelCol="_y", maxIter=30, regParam=0.01).fit(data)
-    return m.transform(data).withColumn("p", F.element_at(vector_to_array("probability"), 2)).drop("_v", "_y", "rawPrediction", "probability", "prediction")
-
-
 def folds(df: DataFrame, vec: str, label: str, fold: str, kind: str = "logistic") -> DataFrame:
     """(fold, n, hits): classifiers trained without a fold and tested on it; kind is logistic or perceptron."""
     data = df.withColumn("_v", array_to_vector(F.transform(vec, lambda x: x.cast("double")))).withColumn("_y", F.col(label).cast("double")).persist()

@@ -1,7 +1,7 @@
 """Shape primitives: how far a fragment's form lies from that of its cluster.
 
-A primitive is a value per file and a rule that turns a fragment's value and its cluster's baseline into a score up to 5.
-Register one with `register`; all abstain (0) without a baseline or in a cluster of fewer than MIN_CLUSTER files.
+A primitive is a value per file, of a text and its language or of tables, and a rule that turns a fragment's value and its cluster's
+baseline into a score up to 5. Register one with `register`; all abstain (0) without a baseline or in a cluster of fewer than MIN_CLUSTER files.
 """
 
 from __future__ import annotations
@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import parse
+
 MIN_CLUSTER = 10
 CAP = 5.0
-PRIMITIVES: dict[str, Callable[..., DataFrame]] = {}
+PRIMITIVES: dict[str, Callable] = {}
 
 
 def register(name: str) -> Callable:
-    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    def add(f: Callable) -> Callable:
         if name in PRIMITIVES:
             raise ValueError(f"{name} is registered already")
         PRIMITIVES[name] = f
@@ -77,6 +79,6 @@ def namespace_divergence(hunk: DataFrame, cluster: DataFrame, key: str) -> DataF
     return d.select(key, "cluster_id", (CAP * F.sqrt(F.greatest(F.lit(0.0), F.col("two") / 2))).alias("value"))
 
 
-register("call_scope_fraction")(score)
-register("except_return_raise_ratio")(score)
-register("fall_through_guards")(score)
+register("call_scope_fraction")(parse.module_scope_share)
+register("except_return_raise_ratio")(parse.handler_ratio)
+register("fall_through_guards")(parse.guards)

@@ -73,20 +73,30 @@ def stages(hunks: DataFrame, m: Model, routing: str = "none", alpha: float = 2.0
     return out.select("entry_id", F.lit(0.0).alias("import_score"), "bpe", contribution.alias("contribution"))
 
 
-def guarded(scored: DataFrame, hunks: DataFrame, m: Model, prefixes: DataFrame | None = None) -> DataFrame:
+def blanked(hunks: DataFrame) -> DataFrame:
+    """hunks(text, lang, ...) with the lines of prose emptied, so that comments and docstrings have no surprise."""
+    return hunks.withColumn("text", P.column(P.blank_prose, "string")("text", "lang"))
+
+
+def guarded(scored: DataFrame, hunks: DataFrame, m: Model, prefixes: DataFrame | None = None, typical: bool = True) -> DataFrame:
     """The output of stages with what needs a parser, for hunks(entry_id, text, lang, and atypical_file if known): import_score is
     the number of imports foreign to the model's modules and to prefixes(prefix), a text that does not stand on its own has no
-    contribution, and what is atypical has no scores but that as its barred reason."""
+    contribution, and what is atypical has no scores but that as its barred reason. With typicality off a header that says that
+    the text is generated bars it instead."""
     if m.modules is None:
         raise ValueError("foreign imports need a model that was fitted with its modules")
     own = imports(hunks, "entry_id")
     foreign = own.join(m.modules, "spec", "left_anti") if prefixes is None else M.foreign(own, m.modules, prefixes)
     n = foreign.groupBy("entry_id").agg(F.count(F.lit(1)).cast("double").alias("_foreign"))
-    names = ("literal_ratio", "control_density", "entropy", "distinct_ratio", "n_leaves")
-    typical = P.struct_column(P.typicality, names, "literal_ratio double, control_density double, entropy double, distinct_ratio double, n_leaves int")
-    of_file = F.coalesce("atypical_file", F.lit(False)) if "atypical_file" in hunks.columns else F.lit(False)
-    h = hunks.select("entry_id", typical("text", "lang").alias("_t"), P.column(P.fragment, "boolean")("text", "lang").alias("_fragment"), of_file.alias("_file"))
-    h = h.select("entry_id", "_fragment", F.when((F.col("_t.n_leaves") >= 5) & (F.col("_t.literal_ratio") > 0.8), "atypical").when(F.col("_file"), "atypical_file").alias("barred"))
+    cut_text = P.column(P.fragment, "boolean")("text", "lang").alias("_fragment")
+    if typical:
+        names = ("literal_ratio", "control_density", "entropy", "distinct_ratio", "n_leaves")
+        shape = P.struct_column(P.typicality, names, "literal_ratio double, control_density double, entropy double, distinct_ratio double, n_leaves int")
+        of_file = F.coalesce("atypical_file", F.lit(False)) if "atypical_file" in hunks.columns else F.lit(False)
+        h = hunks.select("entry_id", shape("text", "lang").alias("_t"), cut_text, of_file.alias("_file"))
+        h = h.select("entry_id", "_fragment", F.when((F.col("_t.n_leaves") >= 5) & (F.col("_t.literal_ratio") > 0.8), "atypical").when(F.col("_file"), "atypical_file").alias("barred"))
+    else:
+        h = hunks.select("entry_id", cut_text, F.when(T.generated(T.lines(F.col("text")), F.col("lang")), "auto_generated").alias("barred"))
     j = scored.drop("import_score").join(h, "entry_id").join(n, "entry_id", "left")
     zero = lambda c: F.when(F.col("barred").isNotNull(), 0.0).otherwise(c)
     contribution = F.when(F.col("_fragment"), 0.0).otherwise(F.col("contribution"))
@@ -129,8 +139,44 @@ def read_config(text: str) -> dict[str, float]:
     return {k: float(v["threshold"]) for k, v in c["languages"].items()}
 
 
-def report(corpora: DataFrame) -> str:
-    """A markdown table of one row per corpus: corpus, auc, recall, fp, threshold."""
-    rows = corpora.orderBy("corpus").collect()
-    head = "| corpus | auc | recall | false positives | threshold |\n|---|---:|---:|---:|---:|\n"
-    return head + "".join(f"| {r['corpus']} | {r['auc']:.4f} | {100 * r['recall']:.1f} % | {100 * r['fp']:.1f} % | {r['threshold']:.3f} |\n" for r in rows)
+def _cell(x, digits: int = 4):  # noqa: ANN001, ANN202
+    """A number of a report, with so many decimals; a dash where there is none."""
+    scale = float(10**digits)
+    return F.coalesce((F.floor(x * scale + 0.5) / scale).cast(f"decimal(30,{digits})").cast("string"), F.lit("-"))
+
+
+def report(corpora: DataFrame, scored: DataFrame, top: int = 5) -> DataFrame:
+    """(section, corpus, line): the report's sections as lines of markdown tables. corpora(corpus, auc, recall, fp, threshold);
+    scored(row_id, corpus, is_break, category, difficulty, scorer_reason, bpe_score, fixture_id, flagged)."""
+    row = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    of = lambda name, df, *cells: df.select(F.lit(name).alias("section"), "corpus", row(*cells).alias("line"))
+    hits = F.sum(F.col("flagged").cast("int"))
+    breaks, controls = scored.where("is_break"), scored.where("is_break = false")
+    ends = scored.groupBy("corpus").agg(
+        F.min(F.when(F.col("is_break"), F.col("bpe_score"))).alias("lo"), F.max(F.when(~F.col("is_break"), F.col("bpe_score"))).alias("hi"),
+        F.count_if(F.col("is_break")).alias("n_fix"), F.count_if(~F.col("is_break")).alias("n_ctrl"),
+    )
+    head = of("headline", corpora.join(ends, "corpus"), text("corpus"), *[_cell(F.col(c)) for c in ("auc", "recall", "fp")], _cell(F.col("lo") - F.col("hi"), 3), text("n_fix"), text("n_ctrl"), _cell(F.col("threshold"), 3))
+    by = lambda k: breaks.where(F.col(k).isNotNull()).groupBy("corpus", k).agg(F.count(F.lit(1)).alias("n"), hits.alias("hits"), F.avg("bpe_score").alias("mean"), F.min("bpe_score").alias("lo"), F.max("bpe_score").alias("hi"))
+    kinds = [of(k, by(k), text(k), text("n"), text("hits"), *[_cell(F.col(c), 3) for c in ("mean", "lo", "hi")]) for k in ("category", "difficulty")]
+    spread = [of("distribution", part.groupBy("corpus").agg(*[F.percentile("bpe_score", q).alias(f"q{i}") for i, q in enumerate((0.0, 0.25, 0.5, 0.75, 0.95, 1.0))]), F.lit(name), *[_cell(F.col(f"q{i}"), 3) for i in range(6)]) for name, part in (("breaks", breaks), ("controls", controls))]
+    stages = of("stages", scored.groupBy("corpus", F.coalesce("scorer_reason", F.lit("none")).alias("reason")).agg(F.count_if(F.col("is_break")).alias("b"), F.count_if(~F.col("is_break")).alias("c")), text("reason"), text("b"), text("c"))
+    missed = of("missed", breaks.where(~F.col("flagged")), text("row_id"), text("fixture_id"), text("category"), _cell(F.col("bpe_score"), 3))
+    best = sampling.top(controls.where("bpe_score is not null"), ["corpus"], top, -F.col("bpe_score"), F.col("row_id"))
+    out = head
+    for part in (*kinds, *spread, stages, missed, of("top_controls", best, text("row_id"), _cell(F.col("bpe_score"), 3))):
+        out = out.unionByName(part)
+    return out
+
+
+HEADS = {"headline": "corpus | auc | recall | false positives | gap | fixtures | controls | threshold", "category": "category | n | hits | mean | min | max", "difficulty": "difficulty | n | hits | mean | min | max", "distribution": "rows | min | p25 | median | p75 | p95 | max", "stages": "reason | breaks | controls", "missed": "row | fixture | category | score", "top_controls": "row | score"}
+
+
+def markdown(lines: DataFrame) -> DataFrame:
+    """(place, line): a report's lines in order, each section of a corpus below its heading."""
+    heads = lines.select("section", "corpus").distinct()
+    at = F.create_map(*[F.lit(x) for i, k in enumerate(HEADS) for x in (k, i)])
+    names = F.create_map(*[F.lit(x) for kv in HEADS.items() for x in kv])
+    top = heads.select("section", "corpus", F.lit(0).alias("kind"), F.concat(F.lit("## "), "corpus", F.lit(": "), "section", F.lit("\n\n| "), F.try_element_at(names, "section"), F.lit(" |")).alias("line"))
+    return lines.select("section", "corpus", F.lit(1).alias("kind"), "line").unionByName(top).withColumn("place", F.try_element_at(at, "section")).orderBy("corpus", "place", "kind", "line").select("corpus", "line")

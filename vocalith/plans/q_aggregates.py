@@ -37,12 +37,13 @@ def agg3_cluster_callees(spark: SparkSession, d: str) -> DataFrame:
     return model.cluster_callees(train_calls(spark, d).select("entry_id", "callee"), c.select("entry_id", F.col("corpus").alias("cluster_id")), "entry_id")
 
 
-@query("SELECT k.k AS cluster_id, count(f.row_id) AS size FROM range(0, 12) k(k) LEFT JOIN (SELECT DISTINCT row_id, features.cluster_id AS c FROM feature_rows) f ON f.c = k.k GROUP BY k.k")
+@query("SELECT k.k AS cluster_id, count(f.row_id) AS size FROM range(0, (SELECT coalesce(max(features.cluster_id), -1) + 1 FROM feature_rows)) k(k) LEFT JOIN (SELECT DISTINCT row_id, features.cluster_id AS c FROM feature_rows) f ON f.c = k.k GROUP BY k.k")
 def agg4_cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes of the clusters 0 to 11, the empty ones too."""
+    """Sizes of the clusters from 0 to the greatest, the empty ones too."""
     f = table(spark, d, "feature_rows").select("row_id", F.col("features.cluster_id").cast("long").alias("cluster_id")).distinct()
     n = f.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
-    return spark.range(12).select(F.col("id").alias("cluster_id")).join(n, "cluster_id", "left").select("cluster_id", F.coalesce("size", F.lit(0)).alias("size"))
+    most = n.agg(F.max("cluster_id").alias("m")).first()["m"]
+    return spark.range(0 if most is None else most + 1).select(F.col("id").alias("cluster_id")).join(n, "cluster_id", "left").select("cluster_id", F.coalesce("size", F.lit(0)).alias("size"))
 
 
 @query("SELECT spec, count(DISTINCT doc_id) AS n_files FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[a-z]+\\.[a-z][a-z_0-9]*')) AS spec FROM documents) GROUP BY spec")
@@ -286,3 +287,23 @@ def agg31_auc_by_dimension(spark: SparkSession, d: str) -> DataFrame:
     """Per dimension the area under the curve for group 0, turned to at least one half."""
     x = table(spark, d, "embeddings").select((F.col("label") == 0).alias("y"), F.posexplode("embedding").alias("p", "x")).select("y", (F.col("p") + 1).cast("long").alias("dim"), F.col("x").cast("double").alias("x"))
     return evaluate.auc(x, "x", F.col("y"), ("dim",)).select("dim", F.round(F.greatest("auc", 1 - F.col("auc")), 6).alias("auc"))
+
+
+@query(f"WITH {SCORED_SQL} SELECT category, count(*) AS n, sum({FLAG}::INT)::BIGINT AS hits, round(avg(bpe_score), 6) AS mean, round(min(bpe_score), 6) AS lo, round(max(bpe_score), 6) AS hi, string_agg(DISTINCT fixture_id, ',' ORDER BY fixture_id) AS ids FROM scored WHERE is_break AND category IS NOT NULL GROUP BY category")
+def agg21_category_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Hits and scores of each category's breaks, with the fixtures they come from."""
+    b = flagged(spark, d).where("is_break and category is not null")
+    return b.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("flagged").cast("int")).alias("hits"), F.round(F.avg("bpe_score"), 6).alias("mean"), F.round(F.min("bpe_score"), 6).alias("lo"), F.round(F.max("bpe_score"), 6).alias("hi"),
+        F.nullif(F.array_join(F.sort_array(F.collect_set("fixture_id")), ","), F.lit("")).alias("ids"),
+    )
+
+
+@query(f"WITH {SCORED_SQL}, e AS (SELECT min(bpe_score) AS lo, max(bpe_score) AS hi FROM scored) SELECT is_break, least(floor((bpe_score - lo) / ((hi - lo) / 20)), 19)::INT AS bin, count(*) AS n FROM scored CROSS JOIN e WHERE bpe_score IS NOT NULL AND is_break IS NOT NULL AND hi > lo GROUP BY 1, 2")
+def agg31_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of breaks and controls in twenty bins of equal width."""
+    s = scored(spark, d).where("bpe_score is not null")
+    e = s.agg(F.min("bpe_score").alias("lo"), F.max("bpe_score").alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / 20
+    j = s.where("is_break is not null").crossJoin(F.broadcast(e)).where("hi > lo")  # one row
+    return j.groupBy("is_break", F.least(F.floor((F.col("bpe_score") - F.col("lo")) / width), F.lit(19)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

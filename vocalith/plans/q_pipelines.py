@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evaluate
 from ..operators.verdict import eligible
-from ..session import shared_path, table
+from ..session import cut, remove, shared_path, table
 from ..sources.tables import CODE_SQL, SCORED_SQL, code, scored
 from . import pipelines as P
 from .q_aggregates import AUC, BPE, FLAG, INEL, flagged
 from .q_filters import typicality
-from .q_joins import TOK
 from .registry import SQL, query
+from .samples import by_hand
 
 _CALLS = r"""calls AS (SELECT entry_id, corpus, side, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '\b(def|function|class|if|for|while|with|switch|catch|return|await|new|in|not|and|or|is)\b', chr(1), 'g'), '([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*)\(', 1))) AS callee FROM code),
  att AS (SELECT DISTINCT callee, string_split(callee, '.')[1] AS root FROM calls WHERE side = 'train')"""
@@ -41,7 +41,7 @@ def _held_in_files(spark: SparkSession, d: str) -> DataFrame:
 
 def _guarded(spark: SparkSession, d: str, hunks: DataFrame, **how) -> DataFrame:  # noqa: ANN003
     m = P.fit(code(spark, d).where("side = 'train'"), table(spark, d, "documents"), parsed=True)
-    return P.guarded(P.stages(hunks, m, **how), hunks, m)
+    return P.guarded(P.stages(P.blanked(hunks), m, **how), hunks, m)
 
 
 @query(f"WITH {BPE}, {_CALLS}, {_PLAIN}, {_VERDICT} SELECT entry_id, 0.0::DOUBLE AS import_score, round(bpe, 6) AS bpe, con::DOUBLE AS contribution, reason, reason <> 'none' AS flagged, round(CASE WHEN reason = 'call_receiver' THEN bpe + con ELSE bpe END, 6)::DOUBLE AS score FROM v")
@@ -198,11 +198,46 @@ def snk4_settings(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(sorted(got.items()), "lang string, threshold double")
 
 
-@query(f"WITH {SCORED_SQL}, {AUC} SELECT count(*) + 2 AS n_lines FROM a")
+_REPORT = (
+    f"WITH {SCORED_SQL}, {AUC}, sf AS (SELECT *, {FLAG} AS flagged FROM scored), rec AS (SELECT corpus, avg(r) AS recall FROM (SELECT corpus, category, avg(flagged::INT) AS r FROM sf WHERE is_break AND category IS NOT NULL GROUP BY corpus, category) GROUP BY corpus), fp AS (SELECT corpus, avg(flagged::INT) AS fp FROM sf WHERE is_break = false AND coalesce(scorer_reason, 'none') NOT IN {INEL} GROUP BY corpus), ends AS (SELECT corpus, min(bpe_score) FILTER (is_break) AS lo, max(bpe_score) FILTER (NOT is_break) AS hi, count(*) FILTER (is_break) AS n_fix, count(*) FILTER (NOT is_break) AS n_ctrl FROM sf GROUP BY corpus)"
+    " SELECT 'headline' AS section, corpus, '| ' || coalesce(corpus::VARCHAR, '-') || ' | ' || coalesce((floor((auc) * 1e4 + 0.5) / 1e4)::DECIMAL(30,4)::VARCHAR, '-') || ' | ' || coalesce((floor((recall) * 1e4 + 0.5) / 1e4)::DECIMAL(30,4)::VARCHAR, '-') || ' | ' || coalesce((floor((fp) * 1e4 + 0.5) / 1e4)::DECIMAL(30,4)::VARCHAR, '-') || ' | ' || coalesce((floor((lo - hi) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce(n_fix::VARCHAR, '-') || ' | ' || coalesce(n_ctrl::VARCHAR, '-') || ' | ' || coalesce((floor((hi) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' |' AS line FROM a JOIN ends USING (corpus) LEFT JOIN rec USING (corpus) LEFT JOIN fp USING (corpus)"
+    " UNION ALL SELECT 'category', corpus, '| ' || coalesce(category::VARCHAR, '-') || ' | ' || coalesce(n::VARCHAR, '-') || ' | ' || coalesce(hits::VARCHAR, '-') || ' | ' || coalesce((floor((mean) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((lo) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((hi) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' |' FROM (SELECT corpus, category, count(*) AS n, sum(flagged::INT)::BIGINT AS hits, avg(bpe_score) AS mean, min(bpe_score) AS lo, max(bpe_score) AS hi FROM sf WHERE is_break AND category IS NOT NULL GROUP BY corpus, category)"
+    " UNION ALL SELECT 'difficulty', corpus, '| ' || coalesce(difficulty::VARCHAR, '-') || ' | ' || coalesce(n::VARCHAR, '-') || ' | ' || coalesce(hits::VARCHAR, '-') || ' | ' || coalesce((floor((mean) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((lo) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((hi) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' |' FROM (SELECT corpus, difficulty, count(*) AS n, sum(flagged::INT)::BIGINT AS hits, avg(bpe_score) AS mean, min(bpe_score) AS lo, max(bpe_score) AS hi FROM sf WHERE is_break AND difficulty IS NOT NULL GROUP BY corpus, difficulty)"
+    " UNION ALL SELECT 'distribution', corpus, '| ' || 'breaks' || ' | ' || coalesce((floor((quantile_cont(bpe_score, 0.0)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((quantile_cont(bpe_score, 0.25)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((quantile_cont(bpe_score, 0.5)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((quantile_cont(bpe_score, 0.75)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((quantile_cont(bpe_score, 0.95)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((quantile_cont(bpe_score, 1.0)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' |' FROM sf WHERE is_break GROUP BY corpus"
+    " UNION ALL SELECT 'distribution', corpus, '| ' || 'controls' || ' | ' || coalesce((floor((quantile_cont(bpe_score, 0.0)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((quantile_cont(bpe_score, 0.25)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((quantile_cont(bpe_score, 0.5)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((quantile_cont(bpe_score, 0.75)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((quantile_cont(bpe_score, 0.95)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((quantile_cont(bpe_score, 1.0)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' |' FROM sf WHERE NOT is_break GROUP BY corpus"
+    " UNION ALL SELECT 'stages', corpus, '| ' || coalesce(reason::VARCHAR, '-') || ' | ' || coalesce(b::VARCHAR, '-') || ' | ' || coalesce(c::VARCHAR, '-') || ' |' FROM (SELECT corpus, coalesce(scorer_reason, 'none') AS reason, count(*) FILTER (is_break) AS b, count(*) FILTER (NOT is_break) AS c FROM sf GROUP BY 1, 2)"
+    " UNION ALL SELECT 'missed', corpus, '| ' || coalesce(row_id::VARCHAR, '-') || ' | ' || coalesce(fixture_id::VARCHAR, '-') || ' | ' || coalesce(category::VARCHAR, '-') || ' | ' || coalesce((floor((bpe_score) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' |' FROM sf WHERE is_break AND NOT flagged"
+    " UNION ALL SELECT 'top_controls', corpus, '| ' || coalesce(row_id::VARCHAR, '-') || ' | ' || coalesce((floor((bpe_score) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' |' FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY bpe_score DESC, row_id) AS r FROM sf WHERE NOT is_break AND bpe_score IS NOT NULL) WHERE r <= 5"
+)
+
+
+@query(_REPORT)
 def snk7_report(spark: SparkSession, d: str) -> DataFrame:
-    """The markdown report: a head of two lines and a line per corpus."""
-    text = P.report(corpus_report(spark, d).na.fill(0.0))
-    return spark.createDataFrame([(len(text.strip().split("\n")),)], "n_lines long")
+    """The lines of the markdown report by section: headline, categories, difficulties, distribution, stages, missed, top controls."""
+    return P.report(corpus_report(spark, d), flagged(spark, d))
+
+
+@query(f"WITH {SCORED_SQL} SELECT DISTINCT corpus FROM scored WHERE corpus IS NOT NULL")
+def snk7_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """The report written as a text of a part per corpus and read again: the corpora whose headline stands in it."""
+    path = shared_path(spark, "markdown")
+    P.markdown(P.report(corpus_report(spark, d), flagged(spark, d))).select("line").write.text(path)
+    out = cut(spark.read.text(path).where("value like '## %: headline'").select(F.expr("substring(value, 4, length(value) - 13)").alias("corpus")))
+    remove(spark, path)
+    return out
+
+
+_FILES = ((1, "c", "python", "import os\nimport json\n\ndef load(path):\n    return json.loads(read(path))\n"), (2, "c", "python", "import os\n\ndef save(path, x):\n    write(path, json.dumps(x))\n"))
+_HUNKS = (
+    (11, "c", "python", "import evilmod\nimport otherbad\n\ndef load(path):\n    return json.loads(read(path))\n"), (12, "c", "python", "import os\n\ndef load(path):\n    return json.loads(read(path))\n"),
+    (13, "c", "python", "[1, 2, 3, 4, 5, 6]\n"), (14, "c", "python", "# auto-generated by a tool\nimport evilmod\n"),
+)
 
 
-TOKENS = TOK
+@query(by_hand([(True, 11, 2.0, "import", True), (True, 12, 0.0, "none", False), (True, 13, 0.0, "atypical", False), (True, 14, 1.0, "import", True), (False, 11, 2.0, "import", True), (False, 12, 0.0, "none", False), (False, 13, 0.0, "none", False), (False, 14, 0.0, "auto_generated", False)], "typical, entry_id, import_score, reason, flagged"))
+def pip1_score_samples(spark: SparkSession, d: str) -> DataFrame:
+    """All stages over small texts, with typicality and, without it, the gate of generated files."""
+    frame = lambda rows: spark.createDataFrame(rows, "entry_id int, corpus string, lang string, text string")
+    m, h = P.fit(frame(_FILES), spark.createDataFrame([("some words of prose",)], "text string"), parsed=True), frame(_HUNKS)
+    one = lambda typical: P.verdicts(P.guarded(P.stages(P.blanked(h), m), h, m, typical=typical), F.lit(50.0)).select(F.lit(typical).alias("typical"), "entry_id", "import_score", "reason", "flagged")
+    return one(True).unionByName(one(False))

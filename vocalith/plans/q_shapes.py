@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import parse as P
 from ..functions import text as T
 from ..operators import shapes
-from ..sources.tables import SCORED_SQL, code, scored
+from ..sources.tables import code
+from . import samples
 from .q_joins import CLUSTERED, clustered
 from .registry import query
 
@@ -49,56 +50,71 @@ def shp2_namespace_jsd(spark: SparkSession, d: str) -> DataFrame:
 
 def _valued(spark: SparkSession, d: str, f) -> DataFrame:  # noqa: ANN001
     """Two-sided scores of the fragments under test, for a value by parser."""
-    c = code(spark, d).select("entry_id", F.col("corpus").alias("cluster_id"), "side", P.column(f, "double")("text", "lang").alias("value"))
+    return _by_parser(code(spark, d), f)
+
+
+def _by_parser(files: DataFrame, f) -> DataFrame:  # noqa: ANN001
+    c = files.select("entry_id", F.col("corpus").alias("cluster_id"), "side", P.column(f, "double")("text", "lang").alias("value"))
     sizes = c.where("side = 'train'").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
     return shapes.score(c.where("side = 'held'").select("entry_id", "cluster_id", "value"), shapes.baselines(c.where("side = 'train'").select("cluster_id", "value")), sizes).select("entry_id", F.round("value", 5).alias("value"), F.round("s", 5).alias("s"))
 
 
 @query()
 def shp3_call_scope_parsed(spark: SparkSession, d: str) -> DataFrame:
-    return _valued(spark, d, P.module_scope_share)
-
-
-def _handler_ratio(text: str, lang: str) -> float | None:
-    r, t = P.handler_counts(text, lang)
-    return r / (r + t) if r + t else None
+    return _valued(spark, d, shapes.PRIMITIVES["call_scope_fraction"])
 
 
 @query()
 def shp4_handlers_parsed(spark: SparkSession, d: str) -> DataFrame:
-    return _valued(spark, d, _handler_ratio)
+    return _valued(spark, d, shapes.PRIMITIVES["except_return_raise_ratio"])
 
 
 @query()
 def shp5_guards_parsed(spark: SparkSession, d: str) -> DataFrame:
-    return _valued(spark, d, P.guards)
+    return _valued(spark, d, shapes.PRIMITIVES["fall_through_guards"])
+
+
+# the same over small files whose values can be counted by hand: twelve normal ones in a cluster, and fragments under test
 
 
-# the same rules on counts that are stored already
+def _small(body, tests: tuple) -> list:  # noqa: ANN001
+    return [(k, "c", "python", "train", body(k)) for k in range(12)] + [(100 + i, "c", "python", "held", t) for i, t in enumerate(tests)]
 
 
-def _stored(spark: SparkSession, d: str, value) -> DataFrame:  # noqa: ANN001
-    s = scored(spark, d).where("cluster_id is not null").withColumn("key", F.concat_ws("/", "corpus", "cluster_id")).withColumn("value", value)
-    rows = s.select("row_id", "is_break", F.col("key").alias("cluster_id"), "value")
-    normal = rows.where("is_break = false")
-    sizes = normal.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
-    return shapes.score(rows.where("is_break").select("row_id", "cluster_id", "value"), shapes.baselines(normal.select("cluster_id", "value")), sizes).select("row_id", F.round("s", 5).alias("s"))
+def _hand(values: list, tests: tuple) -> str:
+    rows = [(k, v, False) for k, v in enumerate(values)] + [(100 + i, v, True) for i, v in enumerate(tests)]
+    return (
+        f"WITH r AS (SELECT * FROM {samples.values(rows, 'entry_id, value, test')}), b AS (SELECT avg(value) AS mean, stddev_pop(value) AS std FROM r WHERE NOT test HAVING count(value) >= 3), z AS (SELECT 12 AS size)"
+        f" SELECT entry_id, round(value, 5)::DOUBLE AS value, round({_Z2}, 5)::DOUBLE AS s FROM r LEFT JOIN b ON true CROSS JOIN z WHERE test"
+    )
 
 
-def _stored_sql(value: str) -> str:
-    return f"WITH {SCORED_SQL}, r AS (SELECT row_id, is_break, corpus || '/' || cluster_id AS k, {value} AS value FROM scored WHERE cluster_id IS NOT NULL), b AS (SELECT k, avg(value) AS mean, stddev_pop(value) AS std FROM r WHERE is_break = false GROUP BY k HAVING count(value) >= 3), z AS (SELECT k, count(*) AS size FROM r WHERE is_break = false GROUP BY k) SELECT row_id, round({_Z2}, 5)::DOUBLE AS s FROM r LEFT JOIN b ON r.k = b.k LEFT JOIN z ON r.k = z.k WHERE is_break"
+def _scored(spark: SparkSession, rows: list, name: str) -> DataFrame:
+    return _by_parser(spark.createDataFrame(rows, "entry_id int, corpus string, lang string, side string, text string"), shapes.PRIMITIVES[name])
 
 
-@query(_stored_sql("(n_distinct_callees - n_unattested_callees) / nullif(n_distinct_callees, 0)"))
+_SCOPE = _small(lambda k: "def f():\n" + "    g()\n" * (k % 4) + "    pass\n" + "h()\n" * (4 - k % 4), ("h()\n", "def f():\n    g()\n", "x = 1\n", "class A:\n    K = g()\n    def f(self):\n        h()\n"))
+
+
+@query(_hand([(4 - k % 4) / 4 for k in range(12)], (1.0, 0.0, None, 0.5)))
 def shp3_call_scope(spark: SparkSession, d: str) -> DataFrame:
-    return _stored(spark, d, F.try_divide(F.col("n_distinct_callees") - F.col("n_unattested_callees"), F.col("n_distinct_callees")))
+    """Share of calls outside functions; a fragment without calls abstains."""
+    return _scored(spark, _SCOPE, "call_scope_fraction")
+
 
+_HANDLING = _small(lambda k: "".join(f"def f{i}():\n    try:\n        a()\n    except E:\n        {'return 1' if i < k % 3 else 'raise'}\n" for i in range(3)), ("try:\n    a()\nexcept E:\n    raise\n", "def f():\n    try:\n        a()\n    except E:\n        return 1\n", "def f():\n    return 1\n"))
 
-@query(_stored_sql("n_unattested_callees / nullif(n_unattested_callees + n_attested_root_only, 0)"))
+
+@query(_hand([(k % 3) / 3 for k in range(12)], (0.0, 1.0, None)))
 def shp4_handlers(spark: SparkSession, d: str) -> DataFrame:
-    return _stored(spark, d, F.try_divide(F.col("n_unattested_callees"), F.col("n_unattested_callees") + F.col("n_attested_root_only")))
+    """Returns among the returns and raises of handlers; a return outside of them does not count."""
+    return _scored(spark, _HANDLING, "except_return_raise_ratio")
+
+
+_GUARDED = _small(lambda k: "def f(a):\n" + "    if a:\n        pass\n" * (k % 3) + "    return a\n", ("def f(a):\n    return a\n    if a:\n        pass\n", "def f(a):\n" + "    if a:\n        pass\n" * 6 + "    return a\n", "def f(a):\n    if a:\n        pass\n", "x = 1\n"))
 
 
-@query(_stored_sql("max_nesting_depth::DOUBLE"))
+@query(_hand([float(k % 3) for k in range(12)], (0.0, 6.0, 0.0, None)))
 def shp5_guards(spark: SparkSession, d: str) -> DataFrame:
-    return _stored(spark, d, F.col("max_nesting_depth").cast("double"))
+    """Ifs before the first return of a function; one without a return has none."""
+    return _scored(spark, _GUARDED, "fall_through_guards")

@@ -30,24 +30,6 @@ def src2_walk_commits(spark: SparkSession, d: str) -> DataFrame:
     return h.where("parent_sha is not null").join(wanted, "commit_sha", "left_semi").select("commit_sha", "file_path", "hs", "he")
 
 
-_CHAIN = f"{HUNKS_SQL}, commits AS (SELECT corpus, commit_sha, min(epoch) AS epoch FROM hunks1 WHERE epoch BETWEEN 1000000000 AND 4000000000 GROUP BY corpus, commit_sha), edges AS (SELECT corpus, commit_sha, lag(commit_sha) OVER (PARTITION BY corpus ORDER BY epoch, commit_sha) AS parent, row_number() OVER (PARTITION BY corpus ORDER BY epoch, commit_sha) AS pos FROM commits)"
-
-
-@query(
-    f"WITH RECURSIVE {_CHAIN}, ends AS (SELECT corpus, max(pos) AS last FROM edges GROUP BY corpus), walk AS (SELECT e.corpus, e.commit_sha, e.parent, 1 AS depth FROM edges e JOIN ends USING (corpus) WHERE e.pos = last"
-    " UNION ALL SELECT e.corpus, e.commit_sha, e.parent, w.depth + 1 FROM walk w JOIN edges e ON e.corpus = w.corpus AND e.commit_sha = w.parent WHERE w.depth < 5) SELECT corpus, commit_sha, depth FROM walk"
-)
-def src3_commit_range(spark: SparkSession, d: str) -> DataFrame:
-    """The commits of a range of five, from the newest of each corpus along the first parent, by a recursive query."""
-    c = hunks(spark, d).where("epoch between 1000000000 and 4000000000").groupBy("corpus", "commit_sha").agg(F.min("epoch").alias("epoch"))
-    w = W.partitionBy("corpus").orderBy("epoch", "commit_sha")
-    c.select("corpus", "commit_sha", F.lag("commit_sha").over(w).alias("parent"), F.row_number().over(w).alias("pos")).createOrReplaceTempView("vocalith_edges")
-    return spark.sql(
-        "WITH RECURSIVE walk AS (SELECT e.corpus, e.commit_sha, e.parent, 1 AS depth FROM vocalith_edges e JOIN (SELECT corpus, max(pos) AS last FROM vocalith_edges GROUP BY corpus) x ON e.corpus = x.corpus AND e.pos = x.last"
-        " UNION ALL SELECT e.corpus, e.commit_sha, e.parent, w.depth + 1 FROM walk w JOIN vocalith_edges e ON e.corpus = w.corpus AND e.commit_sha = w.parent WHERE w.depth < 5) SELECT corpus, commit_sha, depth FROM walk"
-    )
-
-
 @query(f"WITH {CODE_SQL} SELECT entry_id, path, 1 AS start_line, len({LINES}) AS end_line FROM code WHERE side = 'held' AND path NOT IN (SELECT path FROM code WHERE side = 'train') AND len({LINES}) > 0")
 def src6_untracked(spark: SparkSession, d: str) -> DataFrame:
     """Files that the corpus doesn't hold, each as one fragment over all its lines; empty ones are skipped."""

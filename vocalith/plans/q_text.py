@@ -107,19 +107,6 @@ def prj12_inject(spark: SparkSession, d: str) -> DataFrame:
     return c.join(F.broadcast(hosts), "corpus").select("entry_id", F.array_join(body, "\n").alias("body"), (at + 1).cast("long").alias("start_line"), (at + F.size("ls")).cast("long").alias("end_line"))  # a host per corpus
 
 
-@query(f"WITH {_L} SELECT entry_id, array_to_string(list_filter(ls, lambda x: NOT regexp_matches(x, '^\\s*(#|//)')), chr(10)) AS body, len(list_filter(list_slice(ls, 1, 6), lambda x: NOT regexp_matches(x, '^\\s*(#|//)'))) AS line_6_now FROM l")
-def prj13_strip_marks(spark: SparkSession, d: str) -> DataFrame:
-    """Marked comment lines taken out, and where line 6 has gone."""
-    keep = lambda c: F.filter(c, lambda x: ~x.rlike("^\\s*(#|//)"))
-    return _lines(spark, d).select("entry_id", F.array_join(keep(F.col("ls")), "\n").alias("body"), F.size(keep(F.slice("ls", 1, 6))).cast("long").alias("line_6_now"))
-
-
-@query(f"WITH {_L} SELECT entry_id, array_to_string(list_filter(ls, lambda x: regexp_matches(x, '^(export |def )\\S')), chr(10)) AS heads FROM l")
-def prj14_heads(spark: SparkSession, d: str) -> DataFrame:
-    """Top lines of a kind by pattern: exports and definitions stand where a file without imports has them."""
-    return _lines(spark, d).select("entry_id", F.array_join(F.filter("ls", lambda x: x.rlike("^(export |def )\\S")), "\n").alias("heads"))
-
-
 _DOTS = "(SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b[a-z]+\\.[a-z][a-z_0-9]*'))) AS spec FROM documents)"
 
 
@@ -175,18 +162,6 @@ def prj20_labels(spark: SparkSession, d: str) -> DataFrame:
 # ---- extraction
 
 
-@query(f"SELECT DISTINCT doc_id, string_split(spec, '.')[1] AS module FROM {_DOTS}")
-def ext1_imports_pattern(spark: SparkSession, d: str) -> DataFrame:
-    """Top-level modules that a text names, by pattern."""
-    return specs(spark, d).select("doc_id", T.top_level(F.col("spec")).alias("module")).distinct()
-
-
-@query("SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\b[a-z]+/[a-z][a-z_0-9]*\\.tsx?\\b')) AS spec FROM documents")
-def ext2_imports_typescript_pattern(spark: SparkSession, d: str) -> DataFrame:
-    """Full specifiers of TypeScript modules that a text names."""
-    return table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("\\b[a-z]+/[a-z][a-z_0-9]*\\.tsx?\\b"), 0)).alias("spec")).distinct()
-
-
 @query()
 def ext3_import_spans(spark: SparkSession, d: str) -> DataFrame:
     """Imports with their places, by parser, over files that begin with an import of each module they call."""
@@ -198,12 +173,6 @@ def ext3_import_spans(spark: SparkSession, d: str) -> DataFrame:
     return full.select("entry_id", F.explode(spans("text", "lang")).alias("s")).select("entry_id", "s.*")
 
 
-@query("SELECT doc_id, count(*) AS n_specs FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b[a-z]+[./][a-z][a-z_0-9]*'))) AS s FROM documents) GROUP BY doc_id")
-def ext4_import_helpers(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("\\b[a-z]+[./][a-z][a-z_0-9]*"), 0))).alias("s"))
-    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_specs"))
-
-
 @query(f"WITH {CALLS_SQL} SELECT entry_id, callee, count(*) AS n FROM calls GROUP BY entry_id, callee")
 def ext5_callees(spark: SparkSession, d: str) -> DataFrame:
     return code(spark, d).select("entry_id", F.explode(T.callees(F.col("text"))).alias("callee")).groupBy("entry_id", "callee").agg(F.count(F.lit(1)).alias("n"))

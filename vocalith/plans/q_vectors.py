@@ -12,9 +12,10 @@ from ..session import table
 from ..sources.tables import SCORED_SQL, code, scored
 from .q_joins import CENTROIDS, CLUSTERED, centroids, clustered
 from .q_text import CALLS_SQL
+from . import samples
 from .registry import query
 
-N_PERM = 16
+N_PERM = 128
 A, B = hashing.parameters(N_PERM, 0)
 _PARAMS = "(VALUES " + ", ".join(f"({i}, {a}::HUGEINT, {b}::HUGEINT)" for i, (a, b) in enumerate(zip(A, B))) + ") pr(i, a, b)"
 _BASE = "(('0x' || substr(m, 15, 2) || substr(m, 13, 2) || substr(m, 11, 2) || substr(m, 9, 2) || substr(m, 7, 2) || substr(m, 5, 2) || substr(m, 3, 2) || substr(m, 1, 2))::UBIGINT % 2147483647)"
@@ -81,14 +82,30 @@ def ml8_whitened_distance(spark: SparkSession, d: str) -> DataFrame:
     return z.join(F.broadcast(c), "label").select("vec_id", F.round(V.squared_distance(F.col("z"), F.col("centroid")), 4).alias("d2"))  # a row per label
 
 
-@query("WITH l AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings), m AS (SELECT label, dim, avg(x) AS m, count(*) AS n FROM l GROUP BY label, dim), s AS (SELECT l.vec_id, l.label, sum((x - m) * (x - m)) AS inside, sum(pow((x - m) * n / (n - 1), 2)) AS outside FROM l JOIN m USING (label, dim) GROUP BY l.vec_id, l.label) SELECT label, round(avg(outside / inside), 6) AS ratio, max(outside / inside) > 5 AS suspect FROM s GROUP BY label")
+_RIDGE = 1e-3
+
+
+@query(
+    "WITH l AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings), m AS (SELECT label, dim, sum(x) AS s, sum(x * x) AS q, count(*) AS n FROM l GROUP BY label, dim),"
+    f" t AS (SELECT l.vec_id, l.label, sum(pow(x - s / n, 2) / (q / n - pow(s / n, 2) + {_RIDGE})) AS inside, sum(pow(x - (s - x) / (n - 1), 2) / ((q - x * x) / (n - 1) - pow((s - x) / (n - 1), 2) + {_RIDGE})) AS outside FROM l JOIN m USING (label, dim) WHERE n > 1 GROUP BY l.vec_id, l.label)"
+    " SELECT vec_id, label, round(outside / inside, 6) AS ratio, outside / inside > 5 AS suspect FROM t WHERE inside > 0"
+)
 def ml9_leave_one_out(spark: SparkSession, d: str) -> DataFrame:
-    """How much further a vector lies from its group's mean when it is left out of it."""
-    e = table(spark, d, "embeddings").select("label", "embedding")
-    c = centroids(e, "label", "embedding").join(e.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label")
-    s = e.join(F.broadcast(c), "label").withColumn("inside", V.squared_distance(F.col("embedding"), F.col("centroid")))  # a row per label
-    ratio = F.pow(F.col("n") / (F.col("n") - 1), 2)
-    return s.where("inside > 0").groupBy("label").agg(F.round(F.avg(ratio), 6).alias("ratio"), (F.max(ratio) > 5).alias("suspect"))
+    """How much further a vector lies from its group, in the group's own variances, when it is left out of mean and variances."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    flat = e.select("label", F.posexplode("x").alias("dim", "x")).groupBy("label", "dim").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count(F.lit(1)).alias("n"))
+    g = flat.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "s", "q"))), lambda t: F.struct(t["s"].alias("s"), t["q"].alias("q"))).alias("m"), F.max("n").alias("n")).where("n > 1")
+    n = F.col("n")
+
+    def far(mean, square, x):  # noqa: ANN001, ANN202
+        return F.pow(x - mean, F.lit(2)) / (square - mean * mean + _RIDGE)
+
+    inside = F.zip_with("x", "m", lambda x, m: far(m["s"] / n, m["q"] / n, x))
+    outside = F.zip_with("x", "m", lambda x, m: far((m["s"] - x) / (n - 1), (m["q"] - x * x) / (n - 1), x))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
+    t = e.join(F.broadcast(g), "label").select("vec_id", "label", total(inside).alias("inside"), total(outside).alias("outside")).where("inside > 0")  # a row per label
+    ratio = F.col("outside") / F.col("inside")
+    return t.select("vec_id", "label", F.round(ratio, 6).alias("ratio"), (ratio > 5).alias("suspect"))
 
 
 @query(f"WITH {SCORED_SQL}, t AS (SELECT corpus, quantile_cont(bpe_score, 0.99) AS t FROM scored WHERE is_break = false GROUP BY corpus) SELECT s.corpus, round(any_value(t), 6) AS t, count(*) FILTER (s.bpe_score > t) AS n_flagged FROM scored s JOIN t ON s.corpus = t.corpus GROUP BY s.corpus")
@@ -124,20 +141,39 @@ RULES = (
     *(("crypto", c, True) for c in ("crypto.", "secrets.")),
     *(("env", c, True) for c in ("process.env.", "os.environ.", "os.getenv")),
 )
-# The generated code reaches none of them: its own logging and raising calls stand in a second list
-LOCAL_RULES = (*RULES, ("logging", "log.debug", False), ("logging", "console.", True), ("raising", "ValueError", False))
-_RULES = "(VALUES " + ", ".join(f"('{k}', '{c}', {str(p).lower()})" for k, c, p in LOCAL_RULES) + ") r(kind, name, is_prefix)"
+# Python modules that a file must import before their callees count (fixed values)
+GATED = ("aiohttp", "httpx", "os", "random", "requests", "secrets", "time", "tornado", "urllib", "urllib3")
+_RULES = "(VALUES " + ", ".join(f"('{k}', '{c}', {str(p).lower()})" for k, c, p in RULES) + ") r(kind, name, is_prefix)"
+_IMPORTED = r"'(?m)^\s*(?:import|from)\s+' || root || '\b'"
+_KINDS = """c AS (SELECT entry_id, text, callee, string_split(callee, '.')[1] AS root FROM (SELECT DISTINCT entry_id, text, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)*)\\(', 1)) AS callee FROM src)),
+ h AS (SELECT entry_id, kind, count(*) AS n FROM c JOIN {rules} ON CASE WHEN is_prefix THEN starts_with(callee, name) ELSE callee = name END WHERE root NOT IN {gated} OR regexp_matches(text, {imported}) GROUP BY entry_id, kind),
+ x AS (SELECT entry_id, 'throws' AS kind, len(regexp_extract_all(text, '\\b(?:throw\\s+new|raise)\\s+[A-Za-z_]\\w*\\s*\\(')) AS n FROM src) SELECT entry_id, kind, n FROM h UNION ALL SELECT entry_id, kind, n FROM x WHERE n > 0""".format(rules=_RULES, gated=str(GATED), imported=_IMPORTED)
+_CALLING = ((1, "import requests\nrequests.get(u)\nrandom.random()\n"), (2, "requests.get(u)\nfetch(u)\n"), (3, "from os import path\nos.getenv('X')\nprocess.env.get(a)\nMath.random()\nDate.now()\n"), (4, "raise ValueError(x)\nthrow new Error(y)\nraise x\n"))
+
+
+def rule_hits(c: DataFrame) -> DataFrame:
+    """c(entry_id, text) -> (entry_id, kind, n): distinct callees that fixed rules name, by kind, those of a Python module only in texts
+    that import it, and thrown or raised calls."""
+    rules = F.broadcast(c.sparkSession.createDataFrame([*RULES], "kind string, name string, is_prefix boolean"))  # a fixed list
+    found = F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*)\("), 1)
+    modules = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?m)^\s*(?:import|from)\s+([A-Za-z_]\w*)\b"), 1))
+    calls = c.select("entry_id", modules.alias("modules"), F.explode(F.array_distinct(found)).alias("callee")).withColumn("root", T.namespace(F.col("callee")))
+    calls = calls.where(~F.col("root").isin(*GATED) | F.array_contains("modules", F.col("root")))
+    hit = calls.join(rules, F.when(F.col("is_prefix"), F.col("callee").startswith(F.col("name"))).otherwise(F.col("callee") == F.col("name")))
+    n = F.regexp_count("text", F.lit(r"\b(?:throw\s+new|raise)\s+[A-Za-z_]\w*\s*\("))
+    return hit.groupBy("entry_id", "kind").agg(F.count(F.lit(1)).alias("n")).unionByName(c.select("entry_id", F.lit("throws").alias("kind"), n.cast("long").alias("n")).where("n > 0"))
 
 
-@query(f"WITH {CALLS_SQL}, h AS (SELECT entry_id, kind, count(*) AS n FROM (SELECT DISTINCT entry_id, callee FROM calls) c JOIN {_RULES} ON CASE WHEN is_prefix THEN starts_with(callee, name) ELSE callee = name END GROUP BY entry_id, kind), x AS (SELECT entry_id, 'throws' AS kind, len(regexp_extract_all(text, '\\bthrow\\s+new\\s+\\w+\\s*\\(')) + len(regexp_extract_all(text, '\\braise\\s+\\w+\\s*\\(')) AS n FROM code) SELECT entry_id, kind, n FROM h UNION ALL SELECT entry_id, kind, n FROM x WHERE n > 0")
+@query(f"WITH {CALLS_SQL}, src AS (SELECT entry_id, text FROM code), {_KINDS}")
 def ml15_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Callees that fixed rules name, by kind, and thrown or raised calls."""
-    rules = F.broadcast(spark.createDataFrame([*LOCAL_RULES], "kind string, name string, is_prefix boolean"))  # a fixed list
-    c = code(spark, d)
-    calls = c.select("entry_id", F.explode(F.array_distinct(T.callees(F.col("text")))).alias("callee"))
-    hit = calls.join(rules, F.when(F.col("is_prefix"), F.col("callee").startswith(F.col("name"))).otherwise(F.col("callee") == F.col("name")))
-    n = F.regexp_count("text", F.lit(r"\bthrow\s+new\s+\w+\s*\(")) + F.regexp_count("text", F.lit(r"\braise\s+\w+\s*\("))
-    return hit.groupBy("entry_id", "kind").agg(F.count(F.lit(1)).alias("n")).unionByName(c.select("entry_id", F.lit("throws").alias("kind"), n.cast("long").alias("n")).where("n > 0"))
+    """Callees that fixed rules name, and thrown or raised calls, of the stored sources."""
+    return rule_hits(code(spark, d).select("entry_id", "text"))
+
+
+@query(f"WITH src AS (SELECT * FROM {samples.values(_CALLING, 'entry_id, text')}), {_KINDS}")
+def ml15_rules_of_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The same of sources that call what the rules name, with and without its import."""
+    return rule_hits(spark.createDataFrame(_CALLING, "entry_id int, text string"))
 
 
 @query(f"WITH {CLUSTERED} SELECT h.entry_id, h.callee, round(coalesce(c.n_files, 0) / s.size, 6) AS share FROM hc h JOIN cs s ON h.corpus = s.corpus LEFT JOIN cc c ON h.corpus = c.corpus AND h.callee = c.callee")

@@ -9,10 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
-    """A session for tests and benchmarks on one machine. On a cluster the session comes from outside."""
+def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "12g", shared: str | None = None) -> SparkSession:
+    """A session for tests and benchmarks on one machine, with `shared` as its shared folder. On a cluster the session comes from
+    outside."""
+    builder = SparkSession.builder if shared is None else SparkSession.builder.config("spark.checkpoint.dir", shared)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("vocalith")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))

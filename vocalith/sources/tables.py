@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import EXTRACT_LANGUAGE, SCORE_LANGUAGE, language
+from ..functions.text import SCORE_LANGUAGE, language
 from ..session import table
 
 
@@ -29,10 +29,14 @@ CODE_SQL = r"""code AS (SELECT entry_id, any_value(scope) AS corpus, any_value(r
  FROM manifest_entries WHERE entry_id IS NOT NULL AND hunk_content IS NOT NULL AND file IS NOT NULL GROUP BY entry_id)"""
 
 
+MILLISECONDS = 100_000_000_000  # a greater epoch is in milliseconds: as seconds it would lie beyond the year 5000
+
+
 def hunks(spark: SparkSession, d: str) -> DataFrame:
     """Fragments of commits, each once: (commit_sha, corpus, file_path, language, hs, he, tokens, before, after, parent_sha, epoch)."""
     h = table(spark, d, "hunks").where("commit_sha is not null").dropDuplicates(["commit_sha", "corpus", "file_path", "hunk_start_line", "hunk_end_line"])
     stamp = F.try_to_number(F.nullif(F.trim("author_date_iso"), F.lit("")), F.lit("9999999999999")).cast("bigint")
+    stamp = F.when(stamp >= MILLISECONDS, F.floor(stamp / 1000)).otherwise(stamp)
     return h.select(
         "commit_sha", "corpus", "file_path", "language", F.col("hunk_start_line").alias("hs"), F.col("hunk_end_line").alias("he"),
         F.col("hunk_tokens").alias("tokens"), F.col("context_before").alias("before"), F.col("context_after").alias("after"), "parent_sha", stamp.alias("epoch"),
@@ -40,7 +44,7 @@ def hunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 HUNKS_SQL = """hunks1 AS (SELECT commit_sha, corpus, file_path, hunk_start_line AS hs, hunk_end_line AS he, any_value(language) AS language, any_value(hunk_tokens) AS tokens,
- any_value(context_before) AS before, any_value(context_after) AS after, any_value(parent_sha) AS parent_sha, any_value(try_cast(nullif(trim(author_date_iso), '') AS BIGINT)) AS epoch
+ any_value(context_before) AS before, any_value(context_after) AS after, any_value(parent_sha) AS parent_sha, any_value(CASE WHEN try_cast(nullif(trim(author_date_iso), '') AS BIGINT) >= 100000000000 THEN try_cast(nullif(trim(author_date_iso), '') AS BIGINT) // 1000 ELSE try_cast(nullif(trim(author_date_iso), '') AS BIGINT) END) AS epoch
  FROM hunks WHERE commit_sha IS NOT NULL GROUP BY commit_sha, corpus, file_path, hunk_start_line, hunk_end_line)"""
 
 
@@ -63,5 +67,3 @@ SCORED_SQL = """scored AS (SELECT row_id, any_value(run_id) AS run_id, any_value
  any_value(features.n_attested_root_only) AS n_attested_root_only, any_value(features.n_cluster_absent_callees) AS n_cluster_absent_callees, any_value(features.cluster_id) AS cluster_id,
  any_value(features.n_distinct_identifiers) AS n_distinct_identifiers, any_value(features.max_nesting_depth) AS max_nesting_depth, any_value(features.parse_fragment_flag) AS parse_fragment_flag
  FROM feature_rows WHERE row_id IS NOT NULL GROUP BY row_id)"""
-
-EXTRACT = EXTRACT_LANGUAGE
