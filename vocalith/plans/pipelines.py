@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import parse as P
 from ..functions import text as T
+from ..operators import hashing, learn, sampling
 from ..operators import model as M
-from ..operators import sampling
 from ..operators.verdict import arbitrate, thresholds
 from ..session import cut
 
@@ -46,6 +46,14 @@ def imports(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.explode(found("text", "lang")).alias("spec"))
 
 
+def clustered(files: DataFrame, k: int = 8, permutations: int = 128) -> DataFrame:
+    """files(entry_id, text, ...) with cluster_id: at most k clusters of the signatures of what the files call; files that call nothing
+    have the signature of zeros."""
+    sig = hashing.signature(F.array_distinct(T.callees(F.col("text"))), permutations)
+    s = files.select("entry_id", F.transform(sig, lambda x: x / F.lit(float(hashing.PRIME))).alias("sig"))
+    return files.join(learn.kmeans(s, "sig", k).select("entry_id", F.col("cluster_id").cast("int").alias("cluster_id")), "entry_id")
+
+
 def fit(files: DataFrame, generic_text: DataFrame, cluster: str = "corpus", parsed: bool = False) -> Model:
     """files(entry_id, corpus, text) of the corpus, with lang if parsed, for its modules; generic_text(text) of the baseline."""
     tokens = T.word_tokens(F.col("text"))
@@ -58,10 +66,13 @@ def fit(files: DataFrame, generic_text: DataFrame, cluster: str = "corpus", pars
 
 def stages(hunks: DataFrame, m: Model, routing: str = "none", alpha: float = 2.0, root_bonus: float = 2.0, beta: float = 5.0, tau: int = 0, cap: float = 5.0) -> DataFrame:
     """hunks(entry_id, corpus, text) -> (entry_id, import_score, bpe, contribution). routing none ignores clusters, static takes the
-    corpus as the cluster. alpha of 0 or less switches the callee stage off."""
+    corpus as the cluster, nearest the cluster whose callees are most like the text's (of a model fitted on `clustered` files). alpha of 0 or less switches the callee stage off."""
     tokens = T.word_tokens(F.col("text"))
     bpe = M.bpe_scores(hunks, "entry_id", tokens, m.own, m.generic)
     calls = hunks.select("entry_id", F.col("corpus").alias("cluster_id"), F.explode(F.array_distinct(T.callees(F.col("text")))).alias("callee"))
+    if routing == "nearest":
+        bags = calls.select("entry_id", "callee")
+        calls = bags.join(M.nearest_cluster(bags, "entry_id", m.by_cluster.select("cluster_id", "callee")).select("entry_id", "cluster_id"), "entry_id")
     if alpha <= 0 and routing == "none":
         part = None
     elif routing == "none":

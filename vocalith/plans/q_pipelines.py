@@ -241,3 +241,25 @@ def pip1_score_samples(spark: SparkSession, d: str) -> DataFrame:
     m, h = P.fit(frame(_FILES), spark.createDataFrame([("some words of prose",)], "text string"), parsed=True), frame(_HUNKS)
     one = lambda typical: P.verdicts(P.guarded(P.stages(P.blanked(h), m), h, m, typical=typical), F.lit(50.0)).select(F.lit(typical).alias("typical"), "entry_id", "import_score", "reason", "flagged")
     return one(True).unionByName(one(False))
+
+
+@query()
+def pip1_score_hunk_routed(spark: SparkSession, d: str) -> DataFrame:
+    """All stages, with clusters of the corpus' files by signature and each fragment sent to the one it is most like."""
+    m = P.fit(P.clustered(code(spark, d).where("side = 'train'")), table(spark, d, "documents"), cluster="cluster_id", parsed=True)
+    h = _held_in_files(spark, d)
+    v = P.verdicts(P.guarded(P.stages(P.blanked(h), m, routing="nearest", tau=2), h, m), F.lit(_T))
+    return v.select("entry_id", "import_score", F.round("bpe", 6).alias("bpe"), "contribution", "reason", "flagged", F.round("score", 6).alias("score"))
+
+
+_TWO_KINDS = tuple((k, "c", "python", "a.x(1)\nb.y(2)\n" if k % 2 else "c.z(1)\nd.w(2)\n") for k in range(8))
+_ROUTED = ((21, "c", "python", "a.x(1)\nb.y(2)\nc.z(3)\n"), (22, "c", "python", "a.x(1)\nb.y(2)\n"), (23, "c", "python", "a.x(1)\nb.y(2)\nnone()\n"), (24, "c", "python", "c.z(1)\nd.w(2)\nd.other(3)\n"), (25, "c", "python", "x = 1\n"))
+
+
+@query(by_hand([(21, 5.0), (22, 0.0), (23, 2.0), (24, 4.0), (25, 0.0)], "entry_id, contribution"))
+def pip2_routed_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Files of two kinds in clusters by signature: a callee that the nearest cluster lacks weighs five, an unknown one two, or four where
+    its root is known."""
+    frame = lambda rows: spark.createDataFrame(rows, "entry_id int, corpus string, lang string, text string")
+    m = P.fit(P.clustered(frame(_TWO_KINDS), k=2), spark.createDataFrame([("some words",)], "text string"), cluster="cluster_id")
+    return P.stages(frame(_ROUTED), m, routing="nearest").select("entry_id", "contribution")

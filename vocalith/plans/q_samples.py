@@ -5,6 +5,9 @@ The rows of the parsers are compared with rows worked out by hand; the others wi
 
 from __future__ import annotations
 
+import os
+import shutil
+import subprocess
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import parse as P
 from ..functions import text as T
 from ..operators import history
+from ..session import cut, shared_path
+from ..sources import git
 from . import samples as S
 from .q_sources import LINES
 from .registry import query
@@ -208,3 +213,37 @@ def flt4_scope_of_samples(spark: SparkSession, d: str) -> DataFrame:
     known = paths.where(T.language(F.col("path"), T.SCORE_LANGUAGE).isNotNull() & ~T.excluded(F.col("path")))
     src = sources(spark).select(F.col("id").alias("of"), P.column(P.data_ratio, "double")("text", "lang").alias("r"))
     return known.join(src, "of").where("r <= 0.65").select("id")
+
+
+def _repository(spark: SparkSession) -> str:
+    """A small repository in the shared folder with changes of its working tree, its index and a new file; needs the git program."""
+    root = shared_path(spark, "repository").removeprefix("file:")
+    os.makedirs(root)
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@b", "-C", root, *a], check=True, capture_output=True)
+
+    def write(name: str, text: str) -> None:
+        with open(os.path.join(root, name), "w") as f:
+            f.write(text)
+
+    run("init", "-q", ".")
+    write("a.py", "one\ntwo\n"), write("s.py", "1\n2\n3\n")
+    run("add", "."), run("commit", "-qm", "1")
+    write("s.py", "1\nTWO\n3\nfour\n")
+    run("add", "s.py")
+    write("s.py", "not in the index\n"), write("a.py", "ONE\ntwo\n"), write("new.ts", "x\ny"), write("empty.ts", "")
+    return root
+
+
+@query(S.by_hand([("workdir", "a.py", 0, 1, "ONE\ntwo\n"), ("workdir", "s.py", 0, 1, "not in the index\n"), ("staged", "s.py", 1, 2, "1\nTWO\n3\nfour\n"), ("staged", "s.py", 3, 4, "1\nTWO\n3\nfour\n"), ("untracked", "new.ts", 0, 2, "x\ny")], "source, path, first, behind, content"))
+def src4_working_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments of a repository: working tree against index, index against the last commit with the index's content, and new files."""
+    root = _repository(spark)
+    spark.dataSource.register(git.GitHunks)
+    out = None
+    for mode in ("workdir", "staged", "untracked"):
+        got = spark.read.format("git_hunks").option("mode", mode).load(root)
+        got = got.select(F.lit(mode).alias("source"), "path", F.col("hunk_start").alias("first"), F.col("hunk_end").alias("behind"), F.decode("content", "UTF-8").alias("content"))
+        out = got if out is None else out.unionByName(got)
+    out = cut(out)
+    shutil.rmtree(root, ignore_errors=True)
+    return out
