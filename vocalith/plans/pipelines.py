@@ -153,7 +153,7 @@ def read_config(text: str) -> dict[str, float]:
 def _cell(x, digits: int = 4):  # noqa: ANN001, ANN202
     """A number of a report, with so many decimals; a dash where there is none."""
     scale = float(10**digits)
-    return F.coalesce((F.floor(x * scale + 0.5) / scale).cast(f"decimal(30,{digits})").cast("string"), F.lit("-"))
+    return F.coalesce((F.floor(F.round(x, 9) * scale + 0.5) / scale).cast(f"decimal(30,{digits})").cast("string"), F.lit("-"))
 
 
 def report(corpora: DataFrame, scored: DataFrame, top: int = 5) -> DataFrame:

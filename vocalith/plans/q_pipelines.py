@@ -200,14 +200,14 @@ def snk4_settings(spark: SparkSession, d: str) -> DataFrame:
 
 _REPORT = (
     f"WITH {SCORED_SQL}, {AUC}, sf AS (SELECT *, {FLAG} AS flagged FROM scored), rec AS (SELECT corpus, avg(r) AS recall FROM (SELECT corpus, category, avg(flagged::INT) AS r FROM sf WHERE is_break AND category IS NOT NULL GROUP BY corpus, category) GROUP BY corpus), fp AS (SELECT corpus, avg(flagged::INT) AS fp FROM sf WHERE is_break = false AND coalesce(scorer_reason, 'none') NOT IN {INEL} GROUP BY corpus), ends AS (SELECT corpus, min(bpe_score) FILTER (is_break) AS lo, max(bpe_score) FILTER (NOT is_break) AS hi, count(*) FILTER (is_break) AS n_fix, count(*) FILTER (NOT is_break) AS n_ctrl FROM sf GROUP BY corpus)"
-    " SELECT 'headline' AS section, corpus, '| ' || coalesce(corpus::VARCHAR, '-') || ' | ' || coalesce((floor((auc) * 1e4 + 0.5) / 1e4)::DECIMAL(30,4)::VARCHAR, '-') || ' | ' || coalesce((floor((recall) * 1e4 + 0.5) / 1e4)::DECIMAL(30,4)::VARCHAR, '-') || ' | ' || coalesce((floor((fp) * 1e4 + 0.5) / 1e4)::DECIMAL(30,4)::VARCHAR, '-') || ' | ' || coalesce((floor((lo - hi) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce(n_fix::VARCHAR, '-') || ' | ' || coalesce(n_ctrl::VARCHAR, '-') || ' | ' || coalesce((floor((hi) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' |' AS line FROM a JOIN ends USING (corpus) LEFT JOIN rec USING (corpus) LEFT JOIN fp USING (corpus)"
-    " UNION ALL SELECT 'category', corpus, '| ' || coalesce(category::VARCHAR, '-') || ' | ' || coalesce(n::VARCHAR, '-') || ' | ' || coalesce(hits::VARCHAR, '-') || ' | ' || coalesce((floor((mean) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((lo) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((hi) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' |' FROM (SELECT corpus, category, count(*) AS n, sum(flagged::INT)::BIGINT AS hits, avg(bpe_score) AS mean, min(bpe_score) AS lo, max(bpe_score) AS hi FROM sf WHERE is_break AND category IS NOT NULL GROUP BY corpus, category)"
-    " UNION ALL SELECT 'difficulty', corpus, '| ' || coalesce(difficulty::VARCHAR, '-') || ' | ' || coalesce(n::VARCHAR, '-') || ' | ' || coalesce(hits::VARCHAR, '-') || ' | ' || coalesce((floor((mean) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((lo) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((hi) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' |' FROM (SELECT corpus, difficulty, count(*) AS n, sum(flagged::INT)::BIGINT AS hits, avg(bpe_score) AS mean, min(bpe_score) AS lo, max(bpe_score) AS hi FROM sf WHERE is_break AND difficulty IS NOT NULL GROUP BY corpus, difficulty)"
-    " UNION ALL SELECT 'distribution', corpus, '| ' || 'breaks' || ' | ' || coalesce((floor((quantile_cont(bpe_score, 0.0)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((quantile_cont(bpe_score, 0.25)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((quantile_cont(bpe_score, 0.5)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((quantile_cont(bpe_score, 0.75)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((quantile_cont(bpe_score, 0.95)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((quantile_cont(bpe_score, 1.0)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' |' FROM sf WHERE is_break GROUP BY corpus"
-    " UNION ALL SELECT 'distribution', corpus, '| ' || 'controls' || ' | ' || coalesce((floor((quantile_cont(bpe_score, 0.0)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((quantile_cont(bpe_score, 0.25)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((quantile_cont(bpe_score, 0.5)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((quantile_cont(bpe_score, 0.75)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((quantile_cont(bpe_score, 0.95)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor((quantile_cont(bpe_score, 1.0)) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' |' FROM sf WHERE NOT is_break GROUP BY corpus"
+    " SELECT 'headline' AS section, corpus, '| ' || coalesce(corpus::VARCHAR, '-') || ' | ' || coalesce((floor(round(auc, 9) * 1e4 + 0.5) / 1e4)::DECIMAL(30,4)::VARCHAR, '-') || ' | ' || coalesce((floor(round(recall, 9) * 1e4 + 0.5) / 1e4)::DECIMAL(30,4)::VARCHAR, '-') || ' | ' || coalesce((floor(round(fp, 9) * 1e4 + 0.5) / 1e4)::DECIMAL(30,4)::VARCHAR, '-') || ' | ' || coalesce((floor(round(lo - hi, 9) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce(n_fix::VARCHAR, '-') || ' | ' || coalesce(n_ctrl::VARCHAR, '-') || ' | ' || coalesce((floor(round(hi, 9) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' |' AS line FROM a JOIN ends USING (corpus) LEFT JOIN rec USING (corpus) LEFT JOIN fp USING (corpus)"
+    " UNION ALL SELECT 'category', corpus, '| ' || coalesce(category::VARCHAR, '-') || ' | ' || coalesce(n::VARCHAR, '-') || ' | ' || coalesce(hits::VARCHAR, '-') || ' | ' || coalesce((floor(round(mean, 9) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor(round(lo, 9) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor(round(hi, 9) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' |' FROM (SELECT corpus, category, count(*) AS n, sum(flagged::INT)::BIGINT AS hits, avg(bpe_score) AS mean, min(bpe_score) AS lo, max(bpe_score) AS hi FROM sf WHERE is_break AND category IS NOT NULL GROUP BY corpus, category)"
+    " UNION ALL SELECT 'difficulty', corpus, '| ' || coalesce(difficulty::VARCHAR, '-') || ' | ' || coalesce(n::VARCHAR, '-') || ' | ' || coalesce(hits::VARCHAR, '-') || ' | ' || coalesce((floor(round(mean, 9) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor(round(lo, 9) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor(round(hi, 9) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' |' FROM (SELECT corpus, difficulty, count(*) AS n, sum(flagged::INT)::BIGINT AS hits, avg(bpe_score) AS mean, min(bpe_score) AS lo, max(bpe_score) AS hi FROM sf WHERE is_break AND difficulty IS NOT NULL GROUP BY corpus, difficulty)"
+    " UNION ALL SELECT 'distribution', corpus, '| ' || 'breaks' || ' | ' || coalesce((floor(round(quantile_cont(bpe_score, 0.0), 9) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor(round(quantile_cont(bpe_score, 0.25), 9) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor(round(quantile_cont(bpe_score, 0.5), 9) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor(round(quantile_cont(bpe_score, 0.75), 9) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor(round(quantile_cont(bpe_score, 0.95), 9) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor(round(quantile_cont(bpe_score, 1.0), 9) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' |' FROM sf WHERE is_break GROUP BY corpus"
+    " UNION ALL SELECT 'distribution', corpus, '| ' || 'controls' || ' | ' || coalesce((floor(round(quantile_cont(bpe_score, 0.0), 9) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor(round(quantile_cont(bpe_score, 0.25), 9) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor(round(quantile_cont(bpe_score, 0.5), 9) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor(round(quantile_cont(bpe_score, 0.75), 9) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor(round(quantile_cont(bpe_score, 0.95), 9) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' | ' || coalesce((floor(round(quantile_cont(bpe_score, 1.0), 9) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' |' FROM sf WHERE NOT is_break GROUP BY corpus"
     " UNION ALL SELECT 'stages', corpus, '| ' || coalesce(reason::VARCHAR, '-') || ' | ' || coalesce(b::VARCHAR, '-') || ' | ' || coalesce(c::VARCHAR, '-') || ' |' FROM (SELECT corpus, coalesce(scorer_reason, 'none') AS reason, count(*) FILTER (is_break) AS b, count(*) FILTER (NOT is_break) AS c FROM sf GROUP BY 1, 2)"
-    " UNION ALL SELECT 'missed', corpus, '| ' || coalesce(row_id::VARCHAR, '-') || ' | ' || coalesce(fixture_id::VARCHAR, '-') || ' | ' || coalesce(category::VARCHAR, '-') || ' | ' || coalesce((floor((bpe_score) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' |' FROM sf WHERE is_break AND NOT flagged"
-    " UNION ALL SELECT 'top_controls', corpus, '| ' || coalesce(row_id::VARCHAR, '-') || ' | ' || coalesce((floor((bpe_score) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' |' FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY bpe_score DESC, row_id) AS r FROM sf WHERE NOT is_break AND bpe_score IS NOT NULL) WHERE r <= 5"
+    " UNION ALL SELECT 'missed', corpus, '| ' || coalesce(row_id::VARCHAR, '-') || ' | ' || coalesce(fixture_id::VARCHAR, '-') || ' | ' || coalesce(category::VARCHAR, '-') || ' | ' || coalesce((floor(round(bpe_score, 9) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' |' FROM sf WHERE is_break AND NOT flagged"
+    " UNION ALL SELECT 'top_controls', corpus, '| ' || coalesce(row_id::VARCHAR, '-') || ' | ' || coalesce((floor(round(bpe_score, 9) * 1e3 + 0.5) / 1e3)::DECIMAL(30,3)::VARCHAR, '-') || ' |' FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY bpe_score DESC, row_id) AS r FROM sf WHERE NOT is_break AND bpe_score IS NOT NULL) WHERE r <= 5"
 )
 
 
